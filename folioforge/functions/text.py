@@ -7,6 +7,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 URL_HINTS = ("http://", "https://", ".com", ".net", ".org", "www.")
 
@@ -17,7 +18,7 @@ def fold_text(text: str | None, casefold: bool = True) -> str:
     return "".join(c for c in (bare.casefold() if casefold else bare.lower()) if c.isalnum())
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def fold(texts: pd.Series) -> pd.Series:
     """Exact fold of a column, in Arrow batches."""
     return texts.map(fold_text)
@@ -75,4 +76,4 @@ def edge_height(value: Column, height: Column) -> Column:
     text = F.trim(value)
     number = F.regexp_replace(text, "%$", "").try_cast("double")
     pixels = F.when(text.endswith("%"), height * number / 100).when((number > 0) & (number < 1), height * number).otherwise(number)
-    return F.coalesce(F.greatest(F.lit(0), F.least(height, F.bround(pixels, 0).cast("int"))), F.lit(0))
+    return F.when(pixels.isNull(), 0).otherwise(F.greatest(F.lit(0), F.least(height, F.bround(pixels, 0).cast("int"))))
