@@ -55,7 +55,7 @@ HOMOGLYPHS = str.maketrans({
 })
 #: Digits and signs, and the letters they imitate.
 DIGITS = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "l"}
-_DISGUISED = re.compile(r"(?<![a-z0-9])[0134579@$](?=[a-z])|(?<=[a-z])[013457890@$!|]+(?=[a-z])|(?<=[a-z])[013457]+(?![a-z0-9])")
+_DISGUISED = re.compile(r"(?<![a-z0-9])[0134579@$](?=[a-z])|(?<=[a-z])[013457890@$!|]+(?=[a-z])|(?<=[a-z])[013457$]{1,2}(?![a-z0-9$#%&*])")
 _MARKS = re.compile("[̀-ͯ]+")
 _OTHER = re.compile("[^a-z]+")
 
