@@ -8,6 +8,8 @@ warehouse is used.  ``release`` drops the tables of steps whose results have bee
 
 from __future__ import annotations
 
+import gc
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -21,12 +23,20 @@ def shared_dir(spark: SparkSession) -> str:
     return (folder or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_shared").rstrip("/")
 
 
-def written(frame: DataFrame, name: str) -> DataFrame:
-    """Store ``frame`` in the shared folder and read it back; the columns keep their types."""
+def written(frame: DataFrame, name: str, sweep: bool = False) -> DataFrame:
+    """Store ``frame`` in the shared folder and read it back; the columns keep their types.
+
+    ``sweep``: let go of the shuffle files of finished steps at once.  Spark deletes them when the driver collects its
+    garbage, which it may not do for long while executors' disks fill.
+    """
     spark = frame.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     frame.write.parquet(path)
     _TABLES.append(path)
+    for _ in range(2 * sweep):  # the first pass finds the plans, the second one the shuffles that only they held
+        gc.collect()
+        spark._jvm.System.gc()
+        time.sleep(0.5)
     return spark.read.schema(frame.schema).parquet(path)
 
 

@@ -33,6 +33,9 @@ DEPTH = 100
 Q = 20
 #: Bytes hashed at a time; texts beyond it are hashed alone.
 BLOCK = 1 << 22
+#: A bucket with more than this share of all open runs is refined through a shuffle of single strings, which spreads it over all
+#: tasks; others are refined within one task, which never gets more than MOST_LOCAL runs of a bucket.
+LOCAL_SHARE, LEAST_LOCAL, MOST_LOCAL = 1 / 2000, 64, 50_000
 _NO_ID = -(1 << 63)
 
 _C = np.uint64(0x9E3779B97F4A7C15)
@@ -197,23 +200,30 @@ def _found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
+def _cut_runs(text: str, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Bytes of runs side by side, where each run begins there, and start and number of strings of each run."""
+    body = np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8)
+    start, size = at >> 7, at & 127
+    length = size + DEPTH - 1
+    begin = np.cumsum(length) - length
+    return body[np.arange(length.sum()) - np.repeat(begin - start, length)], begin, start, size
+
+
+def _own_strings(data: np.ndarray, begin: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Identifiers of the strings of runs laid side by side, and each string's number within its run."""
+    nth = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+    return identifiers(data)[1][np.repeat(begin, size) + nth], nth
+
+
 def _strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Single strings of the runs that their buckets do not settle: identifier, anchor, place."""
+    """Single strings of the open runs of large buckets: identifier, anchor, place."""
     with np.errstate(over="ignore"):
         for batch in batches:
             k1, k2 = (np.array(batch.column(c)) for c in ("k1", "k2"))
             out, total = [], 0
             for i, (text, at, xs) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("text", "open_at", "open_x")))):
-                if not at:
-                    continue
-                body = np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8)
-                start, size = np.array(at) >> 7, np.array(at) & 127
-                # The bytes of each run side by side; the strings that begin in its first ``size`` bytes are its own.
-                length = size + DEPTH - 1
-                begin = np.cumsum(length) - length
-                source = np.arange(length.sum()) - np.repeat(begin - start, length)
-                nth = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
-                full = identifiers(body[source])[1][np.repeat(begin, size) + nth]
+                data, begin, start, size = _cut_runs(text, np.array(at, np.int64))
+                full, nth = _own_strings(data, begin, size)
                 anchor = np.repeat(np.array(xs, np.int64).view(np.uint64), size)
                 out.append((full, anchor, np.full(len(full), k1[i]), np.full(len(full), k2[i]), np.repeat(start, size) + nth))
                 total += len(full)
@@ -224,6 +234,63 @@ def _strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield _emit(*map(np.concatenate, zip(*out)))
 
 
+def _open_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The bytes of the open runs of small buckets: anchor, place, bytes."""
+    for batch in batches:
+        k1, k2 = (np.array(batch.column(c)) for c in ("k1", "k2"))
+        columns: list[list] = [[], [], [], [], []]
+        for i, (text, at, xs) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("text", "open_at", "open_x")))):
+            body = text.encode("utf-8", "surrogatepass")
+            columns[0] += xs
+            columns[1] += [int(k1[i])] * len(at)
+            columns[2] += [int(k2[i])] * len(at)
+            columns[3] += at
+            columns[4] += [body[a >> 7 : (a >> 7) + (a & 127) + DEPTH - 1] for a in at]
+        yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in columns[:4]), pa.array(columns[4], pa.binary())], ["x", "k1", "k2", "at", "body"])
+
+
+def _settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Open runs sorted by anchor and place in; out go the places of strings that stand earlier in their bucket, as
+    (start, number).  A bucket has MOST_LOCAL runs at most; only the open one is kept between batches."""
+    held: list[pa.RecordBatch] = []
+
+    def settled(table: pa.Table) -> pa.RecordBatch:
+        x, k1, k2, at = (np.array(table.column(c)) for c in ("x", "k1", "k2", "at"))
+        body = np.frombuffer(b"".join(table.column("body").to_pylist()), np.uint8)
+        start, size = at >> 7, at & 127
+        begin = np.cumsum(size + DEPTH - 1) - (size + DEPTH - 1)
+        full, nth = _own_strings(body, begin, size)
+        run = np.repeat(np.arange(len(at)), size)
+        order = np.lexsort((nth, run, full, x[run]))
+        same = np.concatenate([[False], (full[order][1:] == full[order][:-1]) & (x[run[order]][1:] == x[run[order]][:-1])])
+        hit = np.zeros(len(full), bool)
+        hit[order] = same
+        edge = np.flatnonzero(np.diff(np.concatenate([[0], hit.astype(np.int8), [0]])))
+        a, b = edge[::2], edge[1::2]
+        # A stretch of hits may run over the end of a run: cut it there.
+        cuts = np.cumsum(size)[:-1]
+        points = np.unique(np.concatenate([a, cuts[hit[cuts] & hit[cuts - 1]] if len(cuts) else cuts]))
+        ends = np.minimum(np.append(points[1:], len(full)), b[np.searchsorted(b, points, "right")] if len(b) else points)
+        own = run[points]
+        return pa.RecordBatch.from_arrays(
+            [pa.array(c, pa.int64()) for c in (k1[own], k2[own], (start[own] + nth[points]) * 128 + (ends - points))], ["k1", "k2", "at"]
+        )
+
+    with np.errstate(over="ignore"):
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            x = np.array(batch.column("x"))
+            last = 0 if x[0] == x[-1] else int(np.flatnonzero(x != x[-1])[-1]) + 1
+            if last and sum(h.nbytes for h in held) + batch.nbytes > BLOCK:
+                yield settled(pa.Table.from_batches([*held, batch.slice(0, last)]))
+                held = [batch.slice(last)]
+            else:
+                held.append(batch)
+        if held:
+            yield settled(pa.Table.from_batches(held))
+
+
 _SHUFFLED = "x long, y long, k1 long, k2 long, at long"
 
 
@@ -242,11 +309,10 @@ def merged(starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
 
 
 def _spans(run_at: list | None, string_at: list | None) -> np.ndarray:
-    a, b = np.array(run_at or [], np.int64), np.array(string_at or [], np.int64)
-    if not len(a) and not len(b):
+    at = np.array([*(run_at or []), *(string_at or [])], np.int64)
+    if not len(at):
         return np.zeros((0, 2), np.int64)
-    start = np.concatenate([a >> 7, b])
-    return merged(start, np.concatenate([(a >> 7) + (a & 127) + DEPTH - 1, b + DEPTH]))
+    return merged(at >> 7, (at >> 7) + (at & 127) + DEPTH - 1)
 
 
 def located(docs: DataFrame, rest: dict, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
@@ -264,27 +330,35 @@ def located(docs: DataFrame, rest: dict, id_col: str = "doc_id", text_col: str =
     }
     source = docs.withColumns(keys)
     narrow = source.select(F.col("__k1").alias("k1"), F.col("__k2").alias("k2"), F.col(text_col).alias("text"))
-    found = written(_repeats(narrow.mapInArrow(_all_runs, _SHUFFLED)), "runs")
+    found = written(_repeats(narrow.mapInArrow(_all_runs, _SHUFFLED)), "runs", sweep=True)
+    limit = min(MOST_LOCAL, max(LEAST_LOCAL, int(LOCAL_SHARE * found.where("mixed").count())))
+    large = written(found.where("mixed").groupBy("x").count().where(F.col("count") > limit).select("x", F.lit(True).alias("large")), "large")
+    is_large = F.coalesce("large", F.lit(False))
     places = written(
-        found.groupBy("k1", "k2").agg(
-            F.collect_list(F.when(~F.col("mixed"), F.col("at"))).alias("runs"),
-            F.collect_list(F.when(F.col("mixed"), F.struct("at", "x"))).alias("open"),
+        found.join(large, "x", "left").groupBy("k1", "k2").agg(
+            F.collect_list(F.when(~F.col("mixed"), F.col("at"))).alias("__runs"),
+            F.collect_list(F.when(F.col("mixed") & is_large, F.struct("at", "x"))).alias("__far"),
+            F.collect_list(F.when(F.col("mixed") & ~is_large, F.struct("at", "x"))).alias("__near"),
         ),
         "places",
-    ).select(F.col("k1").alias("__k1"), F.col("k2").alias("__k2"), F.col("runs").alias("__runs"), "open.at", F.col("open.x").alias("x"))
-    places = places.withColumnsRenamed({"at": "__at", "x": "__x"})
+    ).withColumnsRenamed({"k1": "__k1", "k2": "__k2"})
     hit = F.col("__runs").isNotNull()
     joined = source.join(places, ["__k1", "__k2"], "left").withColumn("__hit", hit)
     wide = [F.when(hit, F.col(c)).alias(c) for c in docs.columns]
-    table = written(joined.select("__k1", "__k2", "__hit", *wide, F.struct(*[F.when(~hit, e).alias(c) for c, e in rest.items()]).alias("__rest"), "__runs", "__at", "__x"), "texts")
+    table = written(joined.select("__k1", "__k2", "__hit", *wide, F.struct(*[F.when(~hit, e).alias(c) for c, e in rest.items()]).alias("__rest"), "__runs", "__far", "__near"), "texts", sweep=True)
     others = table.where("not __hit").select("__rest.*")
     hits = table.where("__hit").drop("__rest", "__hit")
-    opened = hits.where(F.size("__at") > 0).select(
-        F.col("__k1").alias("k1"), F.col("__k2").alias("k2"), F.col(text_col).alias("text"), F.col("__at").alias("open_at"), F.col("__x").alias("open_x")
-    )
-    again = _repeats(opened.mapInArrow(_strings, _SHUFFLED)).where("not mixed")
-    strings = written(again.groupBy("k1", "k2").agg(F.collect_list("at").alias("__strings")), "strings")
-    hits = hits.drop("__at", "__x").join(
+
+    def opened(column: str) -> DataFrame:
+        return hits.where(F.size(column) > 0).select(
+            F.col("__k1").alias("k1"), F.col("__k2").alias("k2"), F.col(text_col).alias("text"), F.col(f"{column}.at").alias("open_at"), F.col(f"{column}.x").alias("open_x")
+        )
+
+    far = _repeats(opened("__far").mapInArrow(_strings, _SHUFFLED)).where("not mixed").select("k1", "k2", (F.col("at") * 128 + 1).alias("at"))
+    near = opened("__near").mapInArrow(_open_runs, "x long, k1 long, k2 long, at long, body binary")
+    near = near.repartition("x").sortWithinPartitions("x", "k1", "k2", "at").mapInArrow(_settle, "k1 long, k2 long, at long")
+    strings = written(far.unionByName(near).groupBy("k1", "k2").agg(F.collect_list("at").alias("__strings")), "strings", sweep=True)
+    hits = hits.drop("__far", "__near").join(
         strings.withColumnsRenamed({"k1": "__k1", "k2": "__k2"}), ["__k1", "__k2"], "left"
     )
     return hits.drop("__k1", "__k2"), others
