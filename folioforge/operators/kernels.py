@@ -247,14 +247,14 @@ def clean_page(page: np.ndarray, mask: np.ndarray, top: int = 0, bottom: int = 0
 
 
 def ruled_grid(row_means: np.ndarray, least: int = 3, most: int = 60) -> tuple[int, int, float]:
-    """(spacing, phase, score) of the regular dark rows that explain a page's row means best."""
+    """(spacing, phase, score) of the regular dark rows that explain a page's row means best, and most of them."""
     base = np.array([np.median(row_means[max(0, i - 7) : i + 8]) for i in range(len(row_means))])
     score = np.maximum(base - row_means, 0)
     best = (0, 0, 0.0)
     for spacing in range(least, min(most, len(score) // 2) + 1):
         for phase in range(spacing):
             on = score[phase::spacing]
-            value = float(on.mean() - score.mean()) * min(1.0, len(on) / 4)
+            value = float(on.mean() - score.mean()) * min(1.0, len(on) / 4) * float(on.sum() / max(score.sum(), 1e-9))
             if value > best[2] + 1e-12:
                 best = (spacing, phase, value)
     return best
