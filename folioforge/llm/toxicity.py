@@ -5,9 +5,11 @@ and digits or signs between letters become the letters they imitate.  The automa
 phrases at word bounds in one pass; a term inside an exception phrase does not count.  The sum of weights is set against
 the text's length, and a logistic curve over both turns them into a score.
 
-The lexicon is a fixed list, plus words that the labels show to be signs of toxicity; weights are log-odds in the
-labelled sample.  Fitting uses at most ``labelled.FIT_ROWS`` labelled rows, from which only word counts (at most
-MOST_TERMS of them) and three numbers a row come to the driver.
+The lexicon is a fixed list, plus words and word stems that the labels show to be signs of toxicity; weights are log-odds in
+the labelled sample.  A stem stands for all words that begin with it, and is learned only if several different words do, so that the
+words of one much copied document do not become terms.  Stems keep their accents: they are matched in lower-cased text.
+Fitting uses at most ``labelled.FIT_ROWS`` labelled rows, from which only counts (at most MOST_TERMS of them each) and
+three numbers a row come to the driver.
 
 Defined cases: null and empty texts have no term and the least score; without labels the fixed weights and curve hold;
 repeated rows get equal scores; an empty table gives an empty result; further columns are ignored.
@@ -58,9 +60,13 @@ DIGITS = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b",
 _DISGUISED = re.compile(r"(?<![a-z0-9])[0134579@$](?=[a-z])|(?<=[a-z])[013457890@$!|]+(?=[a-z])|(?<=[a-z])[013457$]{1,2}(?![a-z0-9$#%&*])")
 _MARKS = re.compile("[̀-ͯ]+")
 _OTHER = re.compile("[^a-z]+")
+_LETTERS = re.compile(r"[^\W\d_]+")
 
 #: Words from the labels that join the lexicon at most, and the share of toxic texts that must hold one.
 MOST_TERMS, LEAST_SHARE = 200, 0.08
+#: Lengths of stems, the share of toxic texts that must hold one, how much more often their words must begin with it than those
+#: of clean texts, and in how many different words.
+STEM_LENGTHS, STEM_SHARE, STEM_RATIO, STEM_WORDS = range(3, 9), 0.03, 6.0, 8
 DEFAULT_WEIGHT = 2.0
 #: Curve without labels: density of weight, log weight, intercept.
 DEFAULT_CURVE = (1.5, 0.5, -3.0)
@@ -79,11 +85,27 @@ def fold(text: str | None) -> str:
     return f" {_OTHER.sub(' ', text).strip()} "
 
 
+def letters(text: str | None) -> str:
+    """Lower-case words with their accents and single spaces, a space at both ends."""
+    return f" {' '.join(_LETTERS.findall(unicodedata.normalize('NFC', text).lower()))} " if text else " "
+
+
+def stems(text: str | None) -> dict[str, set[str]]:
+    """Proper beginnings of a text's words, with the different words; the fixed terms are left out."""
+    out: dict[str, set[str]] = {}
+    for w in set(letters(text).split()).difference(TERMS):
+        for n in STEM_LENGTHS:
+            if n < len(w):
+                out.setdefault(w[:n], set()).add(w)
+    return out
+
+
 @dataclass(frozen=True)
 class Lexicon:
-    """Weights of terms, exception phrases, and the curve."""
+    """Weights of terms and stems, exception phrases, and the curve."""
 
     weights: dict[str, float] = field(default_factory=lambda: dict.fromkeys(TERMS, DEFAULT_WEIGHT))
+    stems: dict[str, float] = field(default_factory=dict)
     exceptions: tuple[str, ...] = EXCEPTIONS
     curve: tuple[float, float, float] = DEFAULT_CURVE
 
@@ -102,6 +124,12 @@ class Matcher:
         self._some = len(self._found) > 0
         if self._some:
             self._found.make_automaton()
+        self._begun = ahocorasick.Automaton()
+        for stem, weight in lexicon.stems.items():
+            self._begun.add_word(f" {stem}", weight)
+        if lexicon.stems:
+            self._begun.make_automaton()
+        self._any_stem = bool(lexicon.stems)
 
     def spans(self, folded: str) -> list[tuple[int, int, float]]:
         """(start, end, weight) of the terms that count, in the folded text."""
@@ -110,10 +138,13 @@ class Matcher:
             (free if weight is None else terms).append((end - n + 1, end + 1, weight))
         return [t for t in terms if not any(a <= t[0] and t[1] <= b for a, b, _ in free)] if free else terms
 
-    def measure(self, text: str | None) -> tuple[float, int]:
-        """Sum of weights and number of words."""
+    def measure(self, text: str | None) -> tuple[float, int, int]:
+        """Sum of weights, number of words, number of terms."""
         folded = fold(text)
-        return float(sum(w for *_, w in self.spans(folded))), max(folded.count(" ") - 1, 0)
+        found = [w for *_, w in self.spans(folded)]
+        if self._any_stem:
+            found += [w for _, w in self._begun.iter(letters(text))]
+        return float(sum(found)), max(folded.count(" ") - 1, 0), len(found)
 
 
 def inputs(weight: np.ndarray, words: np.ndarray) -> np.ndarray:
@@ -171,20 +202,63 @@ def learn(docs: DataFrame, labels: DataFrame, label: str, train, rows: int = lab
         n = r.a + r.b
         weights[r.word] = round((n * w + 5 * weights.get(r.word, w)) / (n + 5), 4)
     weights = {t: w for t, w in weights.items() if w > 0.3}
-    draft = Lexicon(weights)
+    draft = Lexicon(weights, learn_stems(texts, toxic, clean))
 
     def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         matcher = Matcher(draft)
         for batch in batches:
             out = [matcher.measure(t) for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("y"), pa.array([w for w, _ in out], pa.float64()), pa.array([n for _, n in out], pa.int64())], ["y", "w", "n"]
+                [batch.column("y"), pa.array([w for w, _, _ in out], pa.float64()), pa.array([n for _, n, _ in out], pa.int64())], ["y", "w", "n"]
             )
 
     table = texts.mapInArrow(measured, "y int, w double, n long").toArrow()
     w, n, y = (np.array(table.column(c), float) for c in ("w", "n", "y"))
     order = np.lexsort([n, w, y])  # the fit does not depend on the order of arrival
-    return Lexicon(weights, EXCEPTIONS, fit_curve(w[order], n[order], y[order]))
+    return Lexicon(weights, draft.stems, EXCEPTIONS, fit_curve(w[order], n[order], y[order]))
+
+
+def learn_stems(texts: DataFrame, toxic: int, clean: int) -> dict[str, float]:
+    """Weights of the stems that set the toxic texts apart; of a stem and its extensions the most telling one.
+
+    A stem tells by how often words begin with it, not by whether any does: common syllables begin words everywhere.
+    """
+
+    def begun(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for text, y in zip(batch.column("text").to_pylist(), batch.column("y").to_pylist()):
+                own = {x: len(ws) for x, ws in stems(text).items()}
+                columns = [pa.array(own, pa.string()), pa.array([y] * len(own), pa.int32()), pa.array(own.values(), pa.int64())]
+                yield pa.RecordBatch.from_arrays(columns, ["stem", "y", "n"])
+
+    bad, good = F.col("y") == 1, F.col("y") == 0
+    n_words = F.regexp_count("text", F.lit(r"\p{L}+"))
+    totals = texts.agg(F.sum(F.when(bad, n_words)).alias("a"), F.sum(F.when(good, n_words)).alias("b")).first()
+    in_toxic, in_clean = (totals.a or 0) + 1.0, (totals.b or 0) + 1.0
+    counts = texts.mapInArrow(begun, "stem string, y int, n long").groupBy("stem").agg(
+        F.count(F.when(bad, 1)).alias("texts"), F.coalesce(F.sum(F.when(bad, F.col("n"))), F.lit(0)).alias("a"), F.coalesce(F.sum(F.when(good, F.col("n"))), F.lit(0)).alias("b")
+    )
+    ratio = (F.col("a") + 0.5) / in_toxic * in_clean / (F.col("b") + 0.5)
+    gain = F.col("a") * F.log(ratio) - F.col("a") * (1 - 1 / ratio)
+    strong = counts.where((F.col("texts") >= max(5, STEM_SHARE * toxic)) & (ratio >= STEM_RATIO))
+    found = {r.stem: r for r in strong.select("stem", F.log(ratio).alias("weight"), gain.alias("gain")).orderBy(F.desc("gain"), "stem").limit(5 * MOST_TERMS).collect()}
+    if not found:
+        return {}
+    kept = frozenset(found)
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            pairs = list({(x, w) for text in batch.column("text").to_pylist() for x, ws in stems(text).items() if x in kept for w in ws})
+            columns = list(zip(*pairs)) if pairs else [[], []]
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in columns], ["stem", "word"])
+
+    words = texts.where(bad).mapInArrow(whole, "stem string, word string").groupBy("stem").agg(F.count_distinct("word").alias("n"))
+    various = {r.stem for r in words.where(F.col("n") >= STEM_WORDS).collect()}
+    out: dict[str, float] = {}
+    for x in sorted(various, key=lambda x: (-round(found[x].gain, 6), len(x), x)):
+        if len(out) < MOST_TERMS and not any(x.startswith(k) or k.startswith(x) for k in out):
+            out[x] = round(found[x].weight, 4)
+    return out
 
 
 #: Production parameters: folds and the held-out fold.
@@ -198,13 +272,8 @@ def score(docs: DataFrame, lexicon: Lexicon, id_col: str = "doc_id", text_col: s
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         matcher = Matcher(lexicon)
         for batch in batches:
-            weight, words, terms = [], [], []
-            for text in batch.column("text").to_pylist():
-                folded = fold(text)
-                spans = matcher.spans(folded)
-                weight.append(float(sum(w for *_, w in spans)))
-                words.append(max(folded.count(" ") - 1, 0))
-                terms.append(len(spans))
+            found = [matcher.measure(t) for t in batch.column("text").to_pylist()]
+            weight, words, terms = ([x[i] for x in found] for i in range(3))
             scores = logistic(inputs(np.array(weight), np.array(words)) @ np.array(lexicon.curve))
             yield pa.RecordBatch.from_arrays(
                 [batch.column("id"), pa.array(scores, pa.float64()), pa.array(weight, pa.float64()), pa.array(terms, pa.int64())], ["doc_id", "score", "weight", "n_terms"]
