@@ -33,7 +33,8 @@ def consensus_confidence(model: DataFrame) -> DataFrame:
     )
     stable = F.greatest(F.lit(0.0), F.least(F.lit(1.0), 1 - F.col("noise") / 12))
     value = 0.55 + 0.30 * stable + 0.15 * F.least(F.lit(1.0), F.col("support") / 0.02)
-    return rows.select("document", "support", F.coalesce(F.greatest(F.lit(0.0), F.least(F.lit(0.98), value)), F.lit(0.0)).alias("confidence"))
+    bounded = F.greatest(F.lit(0.0), F.least(F.lit(0.98), value))
+    return rows.select("document", "support", F.when(F.col("support") > 0, bounded).otherwise(0.0).alias("confidence"))
 
 
 def repaired(pixels: DataFrame, model: DataFrame, gain: int = 24, dark: int = 105) -> DataFrame:
@@ -55,7 +56,7 @@ def residual(fixed: DataFrame, least: int = 3) -> DataFrame:
         F.sum(F.when(acted, before)).alias("was"), F.sum(F.when(acted, after)).alias("left"),
     )
     value = F.when(F.col("acted") == 0, F.when(F.col("candidates") > 0, 1.0).otherwise(0.0)).otherwise(
-        F.coalesce(F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("left") / F.nullif("was", F.lit(0.0)))), F.lit(0.0))
+        F.least(F.lit(1.0), F.coalesce(F.try_divide(F.col("left"), F.col("was")), F.lit(0.0)))
     )
     return rows.select("document", "page_id", "candidates", "acted", value.alias("residual"))
 

@@ -112,7 +112,7 @@ _FIXED = f"""{_MODEL}, fx AS (SELECT px.document, page_id, px.pixel, gray, mk.ba
   FROM px LEFT JOIN (SELECT document, pixel, background FROM mo WHERE in_mask) mk ON px.document = mk.document AND px.pixel = mk.pixel)"""
 _RESID = f"""{_FIXED}, rs AS (SELECT document, page_id, count(*) FILTER (background IS NOT NULL) AS candidates, count(*) FILTER (background IS NOT NULL AND abs(fixed - gray) >= 3) AS acted,
   sum(greatest(0.0, background - gray)) FILTER (background IS NOT NULL AND abs(fixed - gray) >= 3) AS was, sum(greatest(0.0, background - fixed)) FILTER (background IS NOT NULL AND abs(fixed - gray) >= 3) AS rest FROM fx GROUP BY ALL),
-rr AS (SELECT document, page_id, candidates, acted, CASE WHEN acted = 0 THEN CASE WHEN candidates > 0 THEN 1.0 ELSE 0.0 END ELSE coalesce(greatest(0.0, least(1.0, rest / nullif(was, 0.0))), 0.0) END AS residual FROM rs)"""
+rr AS (SELECT document, page_id, candidates, acted, CASE WHEN acted = 0 THEN CASE WHEN candidates > 0 THEN 1.0 ELSE 0.0 END WHEN was = 0 THEN 0.0 ELSE least(1.0, rest / was) END AS residual FROM rs)"""
 
 
 # ---- sampling ------------------------------------------------------------------------------------------------------
@@ -343,11 +343,11 @@ def raster_consensus(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""WITH {_MODEL}, a AS (SELECT document, avg(CASE WHEN in_mask THEN 1 ELSE 0 END) AS support, avg(CASE WHEN in_mask THEN mad END) AS noise FROM mo GROUP BY 1)
-SELECT document, round(support, 6) AS support, round(coalesce(greatest(0.0, least(0.98, 0.55 + 0.30 * greatest(0.0, least(1.0, 1 - noise / 12)) + 0.15 * least(1.0, support / 0.02))), 0.0), 6) AS confidence
-FROM (SELECT document, support, noise FROM a WHERE noise IS NOT NULL UNION ALL SELECT document, support, NULL FROM a WHERE noise IS NULL)""".replace("coalesce(greatest(0.0", "coalesce(CASE WHEN noise IS NOT NULL THEN 1.0 END * greatest(0.0"))
+SELECT document, round(support, 6) AS support, CASE WHEN support = 0 THEN 0.0
+ELSE round(greatest(0.0, least(0.98, 0.55 + 0.30 * greatest(0.0, least(1.0, 1 - noise / 12)) + 0.15 * least(1.0, support / 0.02))), 6) END AS confidence FROM a""")
 def consensus_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = rasters.consensus_confidence(_model(spark, sf_dir))
-    return rows.select("document", F.round("support", 6).alias("support"), F.when(F.col("support") > 0, F.round("confidence", 6)).otherwise(0.0).alias("confidence"))
+    return rows.select("document", F.round("support", 6).alias("support"), F.round("confidence", 6).alias("confidence"))
 
 
 @query(f"WITH {_RESID} SELECT document, page_id, candidates, acted, round(residual, 6) AS residual FROM rr")
