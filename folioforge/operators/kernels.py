@@ -31,13 +31,23 @@ def _windows(a: np.ndarray, height: int, width: int, pad) -> np.ndarray:
     return sliding_window_view(padded, (height, width))
 
 
+def _sums(mask: np.ndarray, size: int, axis: int, pad: bool) -> np.ndarray:
+    """Number of set pixels in each window along an axis, by running sums: the cost does not depend on the window."""
+    before = size // 2
+    widths = [(0, 0), (0, 0)]
+    widths[axis] = (before + 1, size - 1 - before)
+    c = np.cumsum(np.pad(mask, widths, constant_values=pad), axis=axis, dtype=np.int32)
+    n = c.shape[axis]
+    return np.take(c, range(size, n), axis) - np.take(c, range(n - size), axis)
+
+
 def dilate(mask: np.ndarray, height: int = 3, width: int = 3) -> np.ndarray:
     """Separable: a rectangle is a column after a row."""
-    return _windows(_windows(mask, 1, width, False).any((2, 3)), height, 1, False).any((2, 3))
+    return _sums(_sums(mask, width, 1, False) > 0, height, 0, False) > 0
 
 
 def erode(mask: np.ndarray, height: int = 3, width: int = 3) -> np.ndarray:
-    return _windows(_windows(mask, 1, width, True).all((2, 3)), height, 1, True).all((2, 3))
+    return _sums(_sums(mask, width, 1, True) == width, height, 0, True) == height
 
 
 def close(mask: np.ndarray, height: int = 3, width: int = 3) -> np.ndarray:

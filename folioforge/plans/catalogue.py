@@ -9,8 +9,9 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import analysis, jobs, kernels, qc, rasters, routing, sampling, streams
+from ..operators import analysis, guided, inkpages, jobs, kernels, qc, rasters, routing, ruledpages, sampling, streams
 from ..sources import files, tables
+from . import process
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -443,7 +444,8 @@ def _kernel_query(spark: SparkSession, sf_dir: str, fields: str, measure) -> Dat
                 out.append(measure(page))
             yield pd.concat([batch[["document", "page_id"]].reset_index(drop=True), pd.DataFrame(out, columns=names)], axis=1)
 
-    return _masks(spark, sf_dir).mapInPandas(run, f"document int, page_id long, {fields}")
+    # Kernels cost far more than moving a page, so pages are dealt evenly, however few files they come from.
+    return _masks(spark, sf_dir).repartition("page_id").mapInPandas(run, f"document int, page_id long, {fields}")
 
 
 @query()
@@ -510,6 +512,98 @@ def ruled_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _kernel_query(spark, sf_dir, "spacing int, phase int, score double", measure)
 
 
+def _large(page):
+    """An 8x8 raster as an RGB page of 96x96 pixels."""
+    import numpy as np
+
+    return np.repeat(np.kron(page, np.ones((12, 12), np.uint8))[..., None], 3, 2)
+
+
+@query()
+def ruled_page_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    def measure(page):
+        out, meta = ruledpages.clean(_large(page))
+        return bool(meta["ruled"]), meta["centers"], meta["confidence"], meta["diagonal"], int(out.astype(int).sum())
+
+    return _kernel_query(spark, sf_dir, "ruled boolean, centers int, confidence double, diagonal int, total long", measure)
+
+
+@query()
+def ink_page_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    def measure(page):
+        _, meta = inkpages.clean(_large(page))
+        return meta["removed"], meta["protected"], meta["graph"]
+
+    return _kernel_query(spark, sf_dir, "removed int, protected int, graph boolean", measure)
+
+
+@query()
+def hybrid_assembly(spark: SparkSession, sf_dir: str) -> DataFrame:
+    def measure(page):
+        got = inkpages.page_result(_large(page), lambda p: inkpages.clean(p)[0])
+        return got["mode"], len(got["patches"]), round(got["changed"], 6), got["fallback"]
+
+    return _kernel_query(spark, sf_dir, "mode string, n_patches int, changed double, used_fallback boolean", measure)
+
+
+@query()
+def guided_page_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    def measure(page):
+        before = _large(page)
+        out, meta = guided.clean_native(before, (96.0, 96.0), dpi=48)
+        metrics = guided.page_metrics(before, out)
+        return meta["level"], round(meta["residual"], 6), round(meta["changed"], 6), metrics["ok"], round(metrics["dark_loss"], 6)
+
+    return _kernel_query(spark, sf_dir, "level string, residual double, changed double, ok boolean, dark_loss double", measure)
+
+
+@query(f"""WITH {_FIXED}, c AS (SELECT document, page_id, count(*) FILTER (fixed <> gray) / count(*) AS changed, count(DISTINCT CAST(floor(pixel / 8) AS INT)) FILTER (fixed <> gray) AS patches FROM fx GROUP BY ALL)
+SELECT document, page_id, round(changed, 6) AS changed, patches, CASE WHEN changed > 0.42 OR patches / 8 > 0.62 OR patches > 120 THEN 'full_raster' ELSE 'hybrid' END AS mode FROM c""")
+def hybrid_choice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Changed rows of a raster stand in for patches."""
+    moved = F.col("fixed") != F.col("gray")
+    rows = _fixed(spark, sf_dir).groupBy("document", "page_id").agg(
+        (F.count_if(moved) / F.count("*")).alias("changed"), F.count_distinct(F.when(moved, F.floor(F.col("pixel") / 8))).alias("patches")
+    )
+    return rows.select("document", "page_id", F.round("changed", 6).alias("changed"), "patches", rasters.hybrid_choice(F.col("changed"), F.col("patches") / 8, F.col("patches"), F.lit(False)).alias("mode"))
+
+
+@query("""WITH r AS (SELECT regexp_extract(url, 'https?://([^/]+)', 1) AS document, page_id, regexp_extract_all(html, 'href="([^"]*)"', 1) AS links FROM pages)
+SELECT document, count(*) AS n_pages, count(*) FILTER (len(list_filter(links, lambda u: NOT contains(lower(u), '/the'))) > 0) AS n_foreign FROM r GROUP BY 1""")
+def link_whitelist(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = tables.table(spark, sf_dir, "pages").select(tables.host("url").alias("document"), F.regexp_extract_all("html", F.lit('href="([^"]*)"'), 1).alias("links"))
+    foreign = F.exists("links", lambda u: ~guided.known_link(u, ("/the",)))
+    return rows.groupBy("document").agg(F.count("*").alias("n_pages"), F.count_if(foreign).alias("n_foreign"))
+
+
+@query("""WITH p AS (SELECT regexp_extract(url, 'https?://([^/]+)', 1) AS document, page_id, strlen(html) AS page_area, unnest(regexp_extract_all(html, '(?s)<article>.*?</article>')) AS f FROM pages)
+SELECT document, page_id, round(max(least(1.0, strlen(f) / page_area)), 6) AS coverage FROM p GROUP BY ALL""")
+def image_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Articles stand in for images, bytes for areas."""
+    rows = tables.table(spark, sf_dir, "pages").select(
+        tables.host("url").alias("document"), "page_id", F.octet_length("html").cast("double").alias("page_area"), F.explode(F.regexp_extract_all("html", F.lit("(?s)<article>.*?</article>"), F.lit(0))).alias("f")
+    )
+    return guided.coverage(rows.withColumn("area", F.octet_length("f").cast("double"))).withColumn("coverage", F.round("coverage", 6))
+
+
+@query("""SELECT rule, n_rows FROM (SELECT 'positive_chars' AS rule, count(*) FILTER (NOT n_chars > 100) AS n_rows FROM documents UNION ALL
+SELECT 'known_language', count(*) FILTER (NOT lang IN ('en', 'de')) FROM documents UNION ALL SELECT 'has_id', count(*) FILTER (NOT doc_id >= 0) FROM documents) WHERE n_rows > 0""")
+def rule_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rules = {"positive_chars": "n_chars > 100", "known_language": "lang IN ('en', 'de')", "has_id": "doc_id >= 0"}
+    return guided.violations(tables.table(spark, sf_dir, "documents"), rules)
+
+
+@query(f"""WITH {_PROFILE.replace(_FLAGS, _scored_sql(SCORER) + ", " + _FLAGS.replace(_PG + ", ", ""), 1)}, sl2 AS (SELECT document, list(line) AS ls FROM sf WHERE safe GROUP BY 1)
+SELECT pg.document, doc_id, rt.strategy <> 'stream_remove' AS used_fallback, sha256(CASE WHEN rt.strategy = 'stream_remove' AND ls IS NOT NULL
+ THEN array_to_string(list_filter(string_split(text, chr(10)), lambda x: NOT list_contains(ls, x)), chr(10)) ELSE text END) AS text_sha256
+FROM pg JOIN rt ON pg.document = rt.document LEFT JOIN sl2 ON pg.document = sl2.document""")
+def document_job(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole job up to publishing: analysis, plan, execution."""
+    pages, lines = _pages(spark, sf_dir), _lines(spark, sf_dir)
+    result = process.execute(pages, lines, process.plan(process.analyze(pages, REGISTRY)), REGISTRY)
+    return result.select("document", "doc_id", "used_fallback", F.sha2("text", 256).alias("text_sha256"))
+
+
 # ---- jobs ----------------------------------------------------------------------------------------------------------
 @query(f"""WITH {_LOG} SELECT job_id, count(*) AS n_events, max(event_id) AS last_event, arg_max(stage, event_id) IN ('done', 'failed', 'cancelled') AS terminal FROM log WHERE event_id > 500 GROUP BY 1""")
 def event_cursor(spark: SparkSession, sf_dir: str) -> DataFrame:
