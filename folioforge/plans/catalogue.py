@@ -445,7 +445,7 @@ def _kernel_query(spark: SparkSession, sf_dir: str, fields: str, measure) -> Dat
             yield pd.concat([batch[["document", "page_id"]].reset_index(drop=True), pd.DataFrame(out, columns=names)], axis=1)
 
     # Kernels cost far more than moving a page, so pages are dealt evenly, however few files they come from.
-    return _masks(spark, sf_dir).repartition("page_id").mapInPandas(run, f"document int, page_id long, {fields}")
+    return _masks(spark, sf_dir).repartition(2 * spark.sparkContext.defaultParallelism, "page_id").mapInPandas(run, f"document int, page_id long, {fields}")
 
 
 @query()
