@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,6 +12,8 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..operators import analysis, guided, inkpages, jobs, kernels, qc, rasters, routing, ruledpages, sampling, streams
 from ..sources import files, tables
+from ..session import shared_dir
+from ..streaming import events
 from . import process
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -620,6 +623,13 @@ def latest_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jobs.latest(_log(spark, sf_dir))
 
 
+@query(ORACLE_SQL["latest_state"])
+def streamed_state(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The latest state again, from the log read as a stream; the pattern lets the table be one file or a folder of files."""
+    base = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+    return events.run_into(events.latest_state(events.log_stream(spark, f"{sf_dir}/events.parque[t]")), f"{base}/states", f"{base}/checkpoint")
+
+
 @query(f"""WITH {_LOG}, s AS (SELECT job_id, arg_max(stage, event_id) AS stage, max(event_id) AS last_event FROM log GROUP BY 1)
 SELECT job_id, stage, last_event FROM s ORDER BY stage IN ('done', 'failed', 'cancelled'), last_event DESC LIMIT 20""")
 def prune_history(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -31,3 +31,18 @@ def run_once(stream: DataFrame, table: str, checkpoint: str, mode: str = "comple
     query = stream.writeStream.outputMode(mode).format("memory").queryName(table).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
     return query
+
+
+def run_into(stream: DataFrame, folder: str, checkpoint: str, mode: str = "complete") -> DataFrame:
+    """Process what has arrived, store each batch's result table in place of the last one, and read it back.
+
+    The table is written by the executors; a restarted query continues from the checkpoint.
+    """
+    spark = stream.sparkSession
+
+    def store(batch: DataFrame, _: int) -> None:
+        batch.write.mode("overwrite").parquet(folder)
+
+    query = stream.writeStream.outputMode(mode).foreachBatch(store).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    query.awaitTermination()
+    return spark.read.schema(stream.schema).parquet(folder)
