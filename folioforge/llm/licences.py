@@ -6,7 +6,7 @@ is legal but no licence.  Its probabilities are calibrated by a temperature on g
 for the fit.  A family is confirmed only if enough of the paragraph's word pairs stand in one of the family's templates.
 
 Training paragraphs are made from the templates: cut, with words dropped, exchanged or put in front.  At most
-NEGATIVES corpus paragraphs (a documented bound, those with the least hash) go with them.
+NEGATIVES corpus paragraphs (a documented bound, picked by hash from about as many documents) go with them.
 
 Defined cases: null and empty texts have no paragraph and no licence; repeated rows get equal results; an empty
 table gives an empty result (the templates alone train the model); further columns are ignored.
@@ -23,6 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import labelled
+
 #: Notices by licence family.
 TEMPLATES: dict[str, tuple[str, ...]] = {
     "apache": (
@@ -224,7 +226,9 @@ def judge(text: str | None, model: Model) -> tuple[str | None, float, int, str]:
 
 def scan(docs: DataFrame, negatives: int = NEGATIVES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, licence, score, n_paragraphs, families of every document; a map over the scan."""
-    lines = docs.select(F.explode(F.split(F.col(text_col), "\n")).alias("line")).select(F.substring("line", 1, 400).alias("line"))
+    # Lines of about as many documents as lines are wanted; then as many of them.
+    few = F.pmod(F.xxhash64(text_col), F.lit(labelled.RANGE)) < int(min(1.0, negatives / max(docs.count(), 1)) * labelled.RANGE)
+    lines = docs.where(few).select(F.explode(F.split(F.col(text_col), "\n")).alias("line")).select(F.substring("line", 1, 400).alias("line"))
     fair = lines.where(F.length("line") > 0).orderBy(F.xxhash64("line"), "line").limit(negatives)
     cues = cue_words()
     model = train(sorted(t for (t,) in fair.collect() if cues.isdisjoint(tokens(t))))
