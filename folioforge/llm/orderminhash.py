@@ -7,9 +7,10 @@ if the Jaccard similarity of the occurrence-labelled k-mers is at least 0.8 and
 an edit similarity (one minus distance over the longer length) of at least 0.8.
 
 Candidates are formed without all pairs of a group.  Equal texts are one node from the start.  Then each sketch
-bucket compares its members with one leader, links are closed transitively, and only members of buckets that still
-mix several components are compared with each other; large mixed buckets are first split by a second, third, ...
-sketch.  What still remains together goes through further rounds of leaders.
+bucket compares its members with one leader, and links are closed transitively.  Members of buckets that still mix
+several components get longer sketches, and are compared if they agree in one of these, are in different components, and have
+similar one-bit minima; large mixed buckets are first split by a second, third, ... sketch.  What still remains together goes
+through further rounds of leaders.
 
 Defined cases: null and empty texts are equal to each other and to nothing else, as are all texts that lack a word
 only if equal byte for byte; texts of one to four words are one k-mer; repeated rows share a class; null ids are kept,
@@ -47,12 +48,16 @@ class Tier:
 
 
 #: Tiers overlap so far that any two texts with similarity 0.8 share one.  Two such texts agree in a sketch of eight
-#: with probability 0.8^8 = 0.17, in none of 40 with 0.06 %; at similarity 0.9 (0.43) with less than 10^-9.  In a
-#: sketch of two with probability 0.64, in none of 14 with less than 10^-6.
-TIERS = (Tier(1, 25, 14, 2), Tier(20, 1 << 62, 40, 8))
-#: Members of mixed buckets that are compared with each other directly.
-SMALL_BUCKET = 48
-DEPTH = 4
+#: with probability 0.8^8 = 0.17, in none of 40 with 0.06 %; in a sketch of two with 0.64, in none of 16 with 10^-7.
+TIERS = (Tier(1, 25, 16, 2), Tier(20, 1 << 62, 40, 8))
+#: Longer sketches for texts whose buckets still mix components; they tell 0.8 from 0.7 far better.  In a sketch of 14 two texts
+#: with similarity 0.8 agree with probability 0.044, in none of 105 with 0.9 %; at 0.82 with 0.1 %, at 0.85 with 10^-5.
+SECOND = (Tier(1, 45, 24, 4), Tier(36, 1 << 62, 105, 14))
+#: One-bit minima (Li and Koenig, 2010) that candidates for a comparison have too.  Of 512 bits two texts with similarity 0.8
+#: differ in 51 on average, with standard deviation 6.8; those that differ in more than 74 are no candidates (0.04 % at 0.8).
+BIT_WORDS, MOST_BITS = 8, 74
+#: Mixed buckets up to this size have their members compared directly; larger ones are split by further sketches first.
+SMALL_BUCKET, DEPTH = 256, 5
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -104,7 +109,41 @@ def labelled(windows: np.ndarray) -> np.ndarray:
     return out
 
 
-def sketches(hashes: np.ndarray) -> list[int]:
+def _least_in_order(labels: np.ndarray, seeds: np.ndarray, take: int) -> np.ndarray:
+    """Positions of the ``take`` labels with the least hashes under each seed, in text order."""
+    x = (labels >> np.uint64(32)).astype(np.uint32)[None, :] ^ (seeds >> np.uint64(32)).astype(np.uint32)[:, None]
+    x *= np.uint32(0x9E3779B1)
+    x ^= x >> np.uint32(15)
+    x *= np.uint32(0x85EBCA6B)
+    x ^= x >> np.uint32(13)
+    if take == x.shape[1]:
+        return np.tile(np.arange(take), (len(seeds), 1))
+    least = np.partition(x, take - 1, axis=1)[:, take - 1 : take]
+    row, at = np.nonzero(x <= least)
+    if len(row) == take * len(seeds):
+        return at.reshape(-1, take)
+    return np.sort(np.argsort(x, axis=1, kind="stable")[:, :take], axis=1)  # equal hashes: the earlier position
+
+
+def one_bit_minima(hashes: np.ndarray) -> np.ndarray:
+    """The lowest bit of the least k-mer hash under each of 64 * BIT_WORDS seeds, packed into signed 64-bit numbers."""
+    out = np.zeros(64 * BIT_WORDS, bool)
+    with np.errstate(over="ignore"):
+        labels = labelled(kmers(hashes))
+        low = (labels >> np.uint64(32)).astype(np.uint32)
+        seeds = (_mix(np.arange(1, len(out) + 1, dtype=np.uint64) * np.uint64(0xE7037ED1A0B428DB)) >> np.uint64(32)).astype(np.uint32)
+        step = max(1, 4_000_000 // max(len(low), 1))
+        for a in range(0, len(out) if len(low) else 0, step):
+            x = low[None, :] ^ seeds[a : a + step, None]
+            x *= np.uint32(0x9E3779B1)
+            x ^= x >> np.uint32(15)
+            x *= np.uint32(0x85EBCA6B)
+            x ^= x >> np.uint32(13)
+            out[a : a + step] = x.min(1) & np.uint32(1)
+    return np.packbits(out).view(np.int64)
+
+
+def sketches(hashes: np.ndarray, tiers: tuple[Tier, ...] = TIERS) -> list[int]:
     """Keys of all sketches of a text, as signed 64-bit numbers; each key tells its tier and number."""
     windows = kmers(hashes)
     n = len(windows)
@@ -113,19 +152,15 @@ def sketches(hashes: np.ndarray) -> list[int]:
     labels = labelled(windows)
     keys = []
     with np.errstate(over="ignore"):
-        for tier_no, tier in enumerate(TIERS):
+        for tier in tiers:
             if not tier.least <= n <= tier.most:
                 continue
             take = min(tier.taken, n)
             seeds = _mix(np.arange(1, tier.sketches + 1, dtype=np.uint64) * np.uint64(0xA0761D6478BD642F))
-            for a in range(0, tier.sketches, max(1, 2_000_000 // n)):
-                part = seeds[a : a + max(1, 2_000_000 // n)]
-                x = (labels[None, :] ^ part[:, None]) * np.uint64(0xBF58476D1CE4E5B9)
-                x ^= x >> np.uint64(32)
-                x *= np.uint64(0x94D049BB133111EB)
-                chosen = np.argpartition(x, take - 1, axis=1)[:, :take] if take < n else np.tile(np.arange(n), (len(part), 1))
-                ordered = windows[np.sort(chosen, axis=1)]  # back in text order
-                key = part + np.uint64(tier_no)
+            for a in range(0, tier.sketches, max(1, 4_000_000 // n)):
+                part = seeds[a : a + max(1, 4_000_000 // n)]
+                ordered = windows[_least_in_order(labels, part, take)]
+                key = part + np.uint64(tier.taken)
                 for i in range(take):
                     key = _mix(key * np.uint64(0x9E3779B97F4A7C15) + ordered[:, i])
                 keys.append(key.view(np.int64))
@@ -209,6 +244,20 @@ def node_of(text_col: str):
     return F.unhex(F.md5(F.coalesce(F.col(text_col), F.lit("")))).alias("node")
 
 
+def _longer(texts: DataFrame) -> DataFrame:
+    """node, keys, bits: the longer sketches and the one-bit minima of texts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = Words()
+        for batch in batches:
+            hashes = [words((x or "").encode("utf-8", "surrogatepass").split()) for x in batch.column("text").to_pylist()]
+            keys = pa.array([sketches(h, SECOND) for h in hashes], pa.list_(pa.int64()))
+            bits = pa.array([one_bit_minima(h).tolist() for h in hashes], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([batch.column("node"), keys, bits], ["node", "keys", "bits"])
+
+    return texts.select("node", "text").mapInArrow(run, "node binary, keys array<long>, bits array<long>")
+
+
 def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """Those of the pairs (a, b) that are links.  Both joins are plain joins on a node, split if one node is hot."""
 
@@ -229,11 +278,11 @@ def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return full.select("a", "b", "ta", "tb").mapInArrow(run, "a binary, b binary")
 
 
-def _stars(rows: DataFrame, skip: DataFrame | None = None) -> DataFrame:
-    """Pairs of each bucket's leader with its other members; rows: key, node, root.  Members of the leader's own
-    component are left out."""
+def _stars(rows: DataFrame) -> DataFrame:
+    """Pairs of each bucket's leader with its other members; rows: key, node, root, rank.  The leader is the member with the
+    least rank.  Members of the leader's own component are left out."""
     leaders = written(
-        rows.groupBy("key").agg(F.min(F.struct("node", "root")).alias("l")).select("key", F.col("l.node").alias("a"), F.col("l.root").alias("own")),
+        rows.groupBy("key").agg(F.min(F.struct("rank", "node", "root")).alias("l")).select("key", F.col("l.node").alias("a"), F.col("l.root").alias("own")),
         "leaders",
     )
     return rows.join(leaders, "key").where("node <> a and root <> own").select("a", F.col("node").alias("b")).distinct()
@@ -264,8 +313,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         rows.groupBy("node").agg(F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "keys")).alias("s")).select("node", "s.id", "s.keys"), "nodes"
     )
     spread = nodes.select("node", F.explode("keys").alias("key"))
-    shared = written(spread.groupBy("key").count().where("count > 1").select("key"), "shared")
-    members = written(spread.join(shared, "key").select("key", "node"), "members")
+    shared = written(spread.groupBy("key").count().where("count > 1"), "shared", sweep=True)
+    members = written(spread.join(shared, "key").select("key", "node", "count"), "members", sweep=True)
     # Texts of all nodes that have a candidate, once.
     involved = written(members.select("node").distinct(), "involved")
     texts = written(
@@ -274,33 +323,41 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         .dropDuplicates(["node"])
         .select("node", "text"),
         "texts",
+        sweep=True,
     )
-    fresh = members.withColumn("root", F.col("node"))
-    links = written(_verified(_stars(fresh), texts), "verified")
+    # Leaders are texts that share sketches with many others: near the middle of a group, they link to most of it.
+    ranks = written(members.groupBy("node").agg((-F.sum(F.col("count") - 1)).alias("rank")), "ranks")
+    fresh = members.join(ranks, "node").select("key", "node", F.col("node").alias("root"), "rank")
+    links = written(_verified(written(_stars(fresh), "stars"), texts), "verified", sweep=True)
     roots = written(components(links), "roots")
 
-    # What is left: members of buckets with several components.
-    level = written(_mixed(_rooted(members, roots)), "level")
+    # What is left: members of buckets with several components.  They get longer sketches.
+    open_nodes = written(_mixed(_rooted(members.select("key", "node"), roots)).select("node").distinct(), "open", sweep=True)
+    longer = written(_longer(texts.join(open_nodes, "node")), "longer")
+    bits = longer.select("node", *[F.col("bits")[i].alias(f"w{i}") for i in range(BIT_WORDS)])
+    level = written(_mixed(_rooted(longer.select("node", F.explode("keys").alias("key")), roots)), "level", sweep=True)
+    others = level.select("node", F.col("key").alias("other"))
+    level = level.withColumn("last", F.col("key"))
     pairs = []
-    for depth in range(DEPTH):
-        small = level.where(F.col("size") <= SMALL_BUCKET)
-        one, two = small.select("key", F.col("node").alias("a"), F.col("root").alias("ra")), small.select("key", F.col("node").alias("b"), F.col("root").alias("rb"))
-        pairs.append(one.join(two, "key").where("a < b and ra <> rb").select("a", "b"))
-        large = level.where(F.col("size") > SMALL_BUCKET).select("key", "node", "root")
+    for _ in range(DEPTH):
+        small = written(level.where(F.col("size") <= SMALL_BUCKET).join(bits, "node"), "small")
+        one, two = (small.select("key", *[F.col(c).alias(c + side) for c in small.columns if c != "key"]) for side in "ab")
+        differ = sum(F.bit_count(F.col(f"w{i}a").bitwiseXOR(F.col(f"w{i}b"))) for i in range(BIT_WORDS))
+        cross = (F.col("nodea") < F.col("nodeb")) & (F.col("roota") != F.col("rootb")) & (differ <= MOST_BITS)
+        pairs.append(one.join(two, "key").where(cross).select(F.col("nodea").alias("a"), F.col("nodeb").alias("b")))
+        large = level.where(F.col("size") > SMALL_BUCKET).select("key", "node", "root", "last")
         if large.isEmpty():
             level = None
             break
-        # Two members go on together if they agree in one more sketch.
-        finer = large.join(members.select("node", F.col("key").alias("other")), "node").where("key <> other")
-        level = written(_mixed(finer.select(F.xxhash64(F.least("key", "other"), F.greatest("key", "other")).alias("key"), "node", "root").distinct()), "level")
-    more = [written(_verified(_union(pairs).distinct(), texts), "verified")]
-    while level is not None:
+        # Two members go on together if they agree in one more sketch; sketches are added in ascending order.
+        finer = large.join(others, "node").where("other > last")
+        level = written(_mixed(finer.select(F.xxhash64("key", "other").alias("key"), "node", "root", F.col("other").alias("last"))), "level", sweep=True)
+    more = [written(_verified(written(_union(pairs).distinct(), "pairs"), texts), "verified", sweep=True)]
+    while level is not None and not level.isEmpty():
         # Members that agree in many sketches: leaders, one after another.
-        if level.isEmpty():
-            break
-        stars = written(_stars(level), "stars")
-        more.append(written(_verified(stars, texts), "verified"))
-        used = level.groupBy("key").agg(F.min("node").alias("node"))
+        ranked = level.select("key", "node", "root").join(ranks, "node")
+        more.append(written(_verified(written(_stars(ranked), "stars"), texts), "verified"))
+        used = ranked.groupBy("key").agg(F.min(F.struct("rank", "node")).alias("u")).select("key", "u.node")
         level = written(_mixed(level.select("key", "node", "root").join(used, ["key", "node"], "left_anti")), "level")
     links = written(_union([links, *more]), "all_links")
     roots = components(links)
@@ -333,7 +390,9 @@ def _union(frames: list[DataFrame]) -> DataFrame:
 
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with one row of each class.  Equal repeated rows of one id become one row."""
-    kept = written(near_duplicates(docs, id_col, text_col).where("keep").select(F.col("id").alias("__id"), F.col("node").alias("__node")).distinct(), "kept")
+    kept = written(near_duplicates(docs, id_col, text_col).where("keep").select(F.col("id").alias("__id"), F.col("node").alias("__n")), "kept")
+    single = kept.distinct()
+    repeated = kept.count() > single.count()
     keyed = docs.withColumn("__node", node_of(text_col))
-    joined = keyed.join(kept.withColumnRenamed("__node", "__n"), F.col("__n").eqNullSafe(F.col("__node")) & F.col("__id").eqNullSafe(F.col(id_col)), "left_semi")
-    return joined.dropDuplicates(["__node", id_col]).drop("__node")
+    joined = keyed.join(single if repeated else kept, F.col("__n").eqNullSafe(F.col("__node")) & F.col("__id").eqNullSafe(F.col(id_col)), "left_semi")
+    return (joined.dropDuplicates(["__node", id_col]) if repeated else joined).drop("__node")

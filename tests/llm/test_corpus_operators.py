@@ -83,6 +83,25 @@ def test_banded_distance():
         assert orderminhash.banded_distance(a, b, most) == min(edit(a, b), most + 1)
 
 
+def test_sketches():
+    """Agreement follows the similarity to the power of the k-mers taken; one-bit minima differ in (1 - J) / 2 of the bits."""
+    hasher, agree, differ, n = orderminhash.Words(), 0, [], 0
+    for seed in range(40):
+        w = words(seed, 400)
+        a, b = (hasher([x.encode() for x in v]) for v in (w, [*w[:-1], "x"]))
+        c = hasher([x.encode() for x in [*w[:80], "p", *w[81:160], "q", *w[161:240], "r", *w[241:320], "s", *w[321:], "t"]])
+        assert orderminhash.sketches(a) == orderminhash.sketches(a.copy()) and len(orderminhash.sketches(a)) == 40
+        agree += len(set(orderminhash.sketches(a, orderminhash.SECOND)) & set(orderminhash.sketches(c, orderminhash.SECOND)))
+        differ.append(sum(int(x).bit_count() for x in np.bitwise_xor(orderminhash.one_bit_minima(a), orderminhash.one_bit_minima(c)).view(np.uint64)))
+        n += 105
+        assert set(orderminhash.sketches(a)) & set(orderminhash.sketches(b))
+    j = (396 - 20) / (397 + 20)  # about: four exchanged words and one more
+    assert abs(agree / n - j**14) < 0.08 and abs(np.mean(differ) - 512 * (1 - j) / 2) < 6
+    moved = [*words(1, 200)[100:], *words(1, 200)[:100]]
+    one, two = (hasher([x.encode() for x in v]) for v in (words(1, 200), moved))
+    assert len(set(orderminhash.sketches(one)) & set(orderminhash.sketches(two))) < 8  # the order counts
+
+
 def test_components(spark):
     r = random.Random(1)
     pairs = [(r.randrange(300), r.randrange(300)) for _ in range(220)] + [(i, i + 1) for i in range(400, 440)] + [(500, i) for i in range(501, 560)]
@@ -120,10 +139,9 @@ def _near_rows():
     return rows
 
 
-@pytest.mark.parametrize("small", [48, 2])
+@pytest.mark.parametrize("small", [256, 2])
 def test_near_duplicates(spark, monkeypatch, small):
     monkeypatch.setattr(orderminhash, "SMALL_BUCKET", small)
-    monkeypatch.setattr(orderminhash, "SMALL_SPLIT", small)
     rows = _near_rows()
     expected = near_classes(rows)
     got = {r.id: r.class_id for r in orderminhash.near_duplicates(docs(spark, rows)).collect()}
