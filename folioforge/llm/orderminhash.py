@@ -8,9 +8,8 @@ an edit similarity (one minus distance over the longer length) of at least 0.8.
 
 Candidates are formed without all pairs of a group.  Equal texts are one node from the start.  Then each sketch
 bucket compares its members with one leader, and links are closed transitively.  Members of buckets that still mix
-several components get longer sketches, and are compared if they agree in one of these, are in different components, and have
-similar one-bit minima; large mixed buckets are first split by a second, third, ... sketch.  What still remains together goes
-through further rounds of leaders.
+several components get longer sketches, and all that agree in one of these are compared across components, in buckets of
+any size; a pair is left out only if the sizes or the parity bitmaps of its k-mer sets prove a similarity below 0.8.
 
 Defined cases: null and empty texts are equal to each other and to nothing else, as are all texts that lack a word
 only if equal byte for byte; texts of one to four words are one k-mer; repeated rows share a class; null ids are kept,
@@ -53,11 +52,13 @@ TIERS = (Tier(1, 25, 16, 2), Tier(20, 1 << 62, 40, 8))
 #: Longer sketches for texts whose buckets still mix components; they tell 0.8 from 0.7 far better.  In a sketch of 14 two texts
 #: with similarity 0.8 agree with probability 0.044, in none of 105 with 0.9 %; at 0.82 with 0.1 %, at 0.85 with 10^-5.
 SECOND = (Tier(1, 45, 24, 4), Tier(36, 1 << 62, 105, 14))
-#: One-bit minima (Li and Koenig, 2010) that candidates for a comparison have too.  Of 512 bits two texts with similarity 0.8
-#: differ in 51 on average, with standard deviation 6.8; those that differ in more than 74 are no candidates (0.04 % at 0.8).
-BIT_WORDS, MOST_BITS = 8, 74
-#: Mixed buckets up to this size have their members compared directly; larger ones are split by further sketches first.
-SMALL_BUCKET, DEPTH = 256, 5
+#: 64-bit words of one-bit minima (Li and Koenig, 2010), an estimate of the similarity; it decides about no pair.
+BIT_WORDS = 8
+#: 64-bit words of the parity bitmaps that rule pairs out.  2048 bits still tell 0.76 from 0.8 in texts of 750 k-mers; in far
+#: longer ones they rule out less, and the verification decides.
+PARITY_WORDS = 32
+#: Members of a bucket that meet in one cell; larger buckets are dealt into blocks of about this size.
+SMALL_BUCKET = 256
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -143,6 +144,13 @@ def one_bit_minima(hashes: np.ndarray) -> np.ndarray:
     return np.packbits(out).view(np.int64)
 
 
+def parities(hashes: np.ndarray) -> np.ndarray:
+    """A bitmap of 64 * PARITY_WORDS bits (Sandes et al., 2020): each the parity of the number of k-mers that fall on it."""
+    windows = kmers(hashes)
+    at = (labelled(windows) % np.uint64(64 * PARITY_WORDS)).astype(np.int64) if len(windows) else np.zeros(0, np.int64)
+    return np.packbits((np.bincount(at, minlength=64 * PARITY_WORDS) & 1).astype(bool)).view(np.int64)
+
+
 def sketches(hashes: np.ndarray, tiers: tuple[Tier, ...] = TIERS) -> list[int]:
     """Keys of all sketches of a text, as signed 64-bit numbers; each key tells its tier and number."""
     windows = kmers(hashes)
@@ -245,17 +253,18 @@ def node_of(text_col: str):
 
 
 def _longer(texts: DataFrame) -> DataFrame:
-    """node, keys, bits: the longer sketches and the one-bit minima of texts."""
+    """node, keys, n, bits: the longer sketches, the number of k-mers and their parity bitmap of texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = Words()
         for batch in batches:
             hashes = [words((x or "").encode("utf-8", "surrogatepass").split()) for x in batch.column("text").to_pylist()]
             keys = pa.array([sketches(h, SECOND) for h in hashes], pa.list_(pa.int64()))
-            bits = pa.array([one_bit_minima(h).tolist() for h in hashes], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([batch.column("node"), keys, bits], ["node", "keys", "bits"])
+            n = pa.array([len(kmers(h)) for h in hashes], pa.int64())
+            bits = pa.array([parities(h).tolist() for h in hashes], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([batch.column("node"), keys, n, bits], ["node", "keys", "n", "bits"])
 
-    return texts.select("node", "text").mapInArrow(run, "node binary, keys array<long>, bits array<long>")
+    return texts.select("node", "text").mapInArrow(run, "node binary, keys array<long>, n long, bits array<long>")
 
 
 def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -297,6 +306,25 @@ def _mixed(rows: DataFrame) -> DataFrame:
     return rows.join(sizes, "key")
 
 
+def _across(mixed: DataFrame, bits: DataFrame) -> DataFrame:
+    """Pairs (a, b) of a bucket's members in different components, but for those whose k-mer sets cannot reach SIMILARITY.
+
+    A bucket of more than SMALL_BUCKET members is dealt into blocks, and each two blocks meet in a cell of their own, so no task
+    holds a whole bucket.  J >= 0.8 means that the k-mer sets differ in at most a ninth of both counts; two parity
+    bitmaps never differ in more bits than the sets in k-mers, so the bitmaps leave out no link.
+    """
+    blocks = F.ceil(F.col("size") / SMALL_BUCKET)
+    dealt = mixed.join(bits, "node").withColumn("block", F.pmod(F.xxhash64("node"), blocks)).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    cells = written(dealt.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "root", *bits.columns), "cells")
+    own = ["key", "i", "j"]
+    one, two = (cells.select(*own, *[F.col(c).alias(c + side) for c in cells.columns if c not in own]) for side in "ab")
+    differ = sum(F.bit_count(F.col(f"w{i}a").bitwiseXOR(F.col(f"w{i}b"))) for i in range(PARITY_WORDS))
+    near = (F.least("na", "nb") * 5 >= F.greatest("na", "nb") * 4) & (differ * 9 <= F.col("na") + F.col("nb"))
+    met = (F.col("i") == F.col("j")) | (F.col("blocka") != F.col("blockb"))
+    cross = (F.col("nodea") < F.col("nodeb")) & (F.col("roota") != F.col("rootb")) & met & near
+    return one.join(two, own).where(cross).select(F.col("nodea").alias("a"), F.col("nodeb").alias("b"))
+
+
 def _rooted(rows: DataFrame, roots: DataFrame) -> DataFrame:
     """Rows (key, node) with the root of each node's component."""
     return rows.join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
@@ -331,36 +359,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     links = written(_verified(written(_stars(fresh), "stars"), texts), "verified", sweep=True)
     roots = written(components(links), "roots")
 
-    # What is left: members of buckets with several components.  They get longer sketches.
-    open_nodes = written(_mixed(_rooted(members.select("key", "node"), roots)).select("node").distinct(), "open", sweep=True)
+    # What is left: members of buckets with several components.  First those that agree in a longer sketch, which joins most
+    # of what belongs together; then all that agree in a sketch and still are in different components.
+    short = members.select("key", "node")
+    open_nodes = written(_mixed(_rooted(short, roots)).select("node").distinct(), "open", sweep=True)
     longer = written(_longer(texts.join(open_nodes, "node")), "longer")
-    bits = longer.select("node", *[F.col("bits")[i].alias(f"w{i}") for i in range(BIT_WORDS)])
-    level = written(_mixed(_rooted(longer.select("node", F.explode("keys").alias("key")), roots)), "level", sweep=True)
-    others = level.select("node", F.col("key").alias("other"))
-    level = level.withColumn("last", F.col("key"))
-    pairs = []
-    for _ in range(DEPTH):
-        small = written(level.where(F.col("size") <= SMALL_BUCKET).join(bits, "node"), "small")
-        one, two = (small.select("key", *[F.col(c).alias(c + side) for c in small.columns if c != "key"]) for side in "ab")
-        differ = sum(F.bit_count(F.col(f"w{i}a").bitwiseXOR(F.col(f"w{i}b"))) for i in range(BIT_WORDS))
-        cross = (F.col("nodea") < F.col("nodeb")) & (F.col("roota") != F.col("rootb")) & (differ <= MOST_BITS)
-        pairs.append(one.join(two, "key").where(cross).select(F.col("nodea").alias("a"), F.col("nodeb").alias("b")))
-        large = level.where(F.col("size") > SMALL_BUCKET).select("key", "node", "root", "last")
-        if large.isEmpty():
-            level = None
-            break
-        # Two members go on together if they agree in one more sketch; sketches are added in ascending order.
-        finer = large.join(others, "node").where("other > last")
-        level = written(_mixed(finer.select(F.xxhash64("key", "other").alias("key"), "node", "root", F.col("other").alias("last"))), "level", sweep=True)
-    more = [written(_verified(written(_union(pairs).distinct(), "pairs"), texts), "verified", sweep=True)]
-    while level is not None and not level.isEmpty():
-        # Members that agree in many sketches: leaders, one after another.
-        ranked = level.select("key", "node", "root").join(ranks, "node")
-        more.append(written(_verified(written(_stars(ranked), "stars"), texts), "verified"))
-        used = ranked.groupBy("key").agg(F.min(F.struct("rank", "node")).alias("u")).select("key", "u.node")
-        level = written(_mixed(level.select("key", "node", "root").join(used, ["key", "node"], "left_anti")), "level")
-    links = written(_union([links, *more]), "all_links")
-    roots = components(links)
+    bits = longer.select("node", "n", *[F.col("bits")[i].alias(f"w{i}") for i in range(PARITY_WORDS)])
+    for keys in (longer.select(F.explode("keys").alias("key"), "node"), short.join(open_nodes, "node")):
+        pairs = written(_across(_mixed(_rooted(keys, roots)), bits).distinct(), "pairs", sweep=True)
+        links = written(_union([links, written(_verified(pairs, texts), "verified")]), "all_links")
+        roots = written(components(links), "roots")
     both = links.select(F.col("a").alias("node")).unionByName(links.select(F.col("b").alias("node")))
     degrees = both.groupBy("node").agg(F.count("*").alias("n_links"))
 

@@ -148,6 +148,35 @@ def test_near_duplicates(spark, monkeypatch, small):
     assert [got[i] for i, _ in rows] == [rows[c][0] for c in expected] and got[300] != got[301]
 
 
+def _pairs_on_a_core(seed, n, pairs):
+    """Texts of n words with a common core: the two of a pair have a similarity just above 0.8, all others one just below."""
+    own = (n - 4) // 9
+    core, rows = words(seed, n - own - 1), []
+    for i in range(pairs):
+        rows += [(2 * i + c, " ".join([*core, f"pair{i}", *(f"own{i}-{c}-{k}" for k in range(own))])) for c in range(2)]
+    return rows
+
+
+def test_large_mixed_buckets(spark, monkeypatch):
+    """Pairs whose few common sketches all stand in buckets above SMALL_BUCKET."""
+    monkeypatch.setattr(orderminhash, "SMALL_BUCKET", 8)
+    rows = _pairs_on_a_core(5, 300, 40)
+    got = {r.id: r.class_id for r in orderminhash.near_duplicates(docs(spark, rows)).collect()}
+    assert got == {i: i // 2 * 2 for i, _ in rows}
+
+
+def test_parities():
+    """Bitmaps never differ in more bits than the sets in k-mers, so they leave out no pair."""
+    hasher, r = orderminhash.Words(), random.Random(6)
+    for n in (1, 4, 5, 30, 400, 5000):
+        a = words(n, n)
+        b = [w if r.random() > 0.02 else "new" for w in a]
+        x, y = (hasher([w.encode() for w in v]) for v in (a, b))
+        differ = np.setxor1d(*(orderminhash.labelled(orderminhash.kmers(v)) for v in (x, y)))
+        bits = np.bitwise_xor(orderminhash.parities(x), orderminhash.parities(y)).view(np.uint64)
+        assert len(bits) == orderminhash.PARITY_WORDS and sum(int(v).bit_count() for v in bits) <= len(differ)
+
+
 def test_near_awkward(spark):
     rows = awkward()
     found = orderminhash.near_duplicates(docs(spark, rows).withColumn("node", F.lit(1))).collect()
