@@ -165,6 +165,13 @@ def test_large_mixed_buckets(spark, monkeypatch):
     assert got == {i: i // 2 * 2 for i, _ in rows}
 
 
+def test_short_sketches_are_enough(spark):
+    """Pairs of 50 words in mixed buckets: some agree in no longer sketch."""
+    rows = _pairs_on_a_core(9, 50, 100)
+    got = {r.id: r.class_id for r in orderminhash.near_duplicates(docs(spark, rows)).collect()}
+    assert got == {i: i // 2 * 2 for i, _ in rows}
+
+
 def test_parities():
     """Bitmaps never differ in more bits than the sets in k-mers, so they leave out no pair."""
     hasher, r = orderminhash.Words(), random.Random(6)
