@@ -4,6 +4,8 @@ Paragraphs are lines.  A multinomial logistic regression on sparse word n-grams
 families apart, with a class "unknown" for everything else, trained on paragraphs of the corpus and on wording that
 is legal but no licence.  Its probabilities are calibrated by a temperature on generated paragraphs that were not used
 for the fit.  A family is confirmed only if enough of the paragraph's word pairs stand in one of the family's templates.
+A paragraph goes to the classifier unless it has too few template word pairs to be confirmed for any family, so this filter
+drops no licence.  Paragraphs of more than LONG words are judged in a window around each place with a template word pair.
 
 Training paragraphs are made from the templates: cut, with words dropped, exchanged or put in front.  At most
 NEGATIVES corpus paragraphs (a documented bound, picked by hash from about as many documents) go with them.
@@ -14,6 +16,7 @@ table gives an empty result (the templates alone train the model); further colum
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -106,7 +109,6 @@ class Model:
     index: dict[str, int]
     weights: np.ndarray  # n-grams and a bias by families
     temperature: float
-    cues: frozenset[str]  # words without which no paragraph is a notice
 
     def probabilities(self, words: list[str]) -> np.ndarray:
         at = [self.index[g] for g in grams(words) if g in self.index]
@@ -172,13 +174,7 @@ def train(negatives: list[str], seed: int = 11, copies: int = 30, rounds: int =
         return float((np.log(np.exp(s - s.max(1, keepdims=True)).sum(1)) + s.max(1) - s[np.arange(len(s)), truth]).mean())
 
     temperature = min((0.25 * 1.15**i for i in range(25)), key=loss)
-    return Model(index, w, temperature, cue_words())
-
-
-def cue_words() -> frozenset[str]:
-    """The least set of words such that every template holds one, rare in ordinary text."""
-    rare = {"licensed", "license", "licenses", "rights", "permission", "redistribution", "redistributions", "redistribute", "mpl", "publication", "confidential", "gpl"}
-    return frozenset(rare)
+    return Model(index, w, temperature)
 
 
 def _pairs(words: list[str]) -> set[tuple[str, str]]:
@@ -186,6 +182,11 @@ def _pairs(words: list[str]) -> set[tuple[str, str]]:
 
 
 _TEMPLATE_PAIRS = {f: [_pairs(tokens(t)) for t in ts] for f, ts in TEMPLATES.items()}
+_ANY_PAIR = frozenset().union(*(p for ps in _TEMPLATE_PAIRS.values() for p in ps))
+#: Template word pairs without which ``confirmed`` stays below CONFIRM for every family: its least denominator is 3, or a template's.
+LEAST_PAIRS = math.ceil(CONFIRM * min(3, *(len(p) for ps in _TEMPLATE_PAIRS.values() for p in ps)))
+#: Words of a paragraph that is judged as a whole at most; words before and after a place in a longer one.
+LONG, BEFORE, AFTER = 60, 15, 30
 
 
 def confirmed(words: list[str], family: str) -> float:
@@ -198,19 +199,28 @@ def confirmed(words: list[str], family: str) -> float:
     return best
 
 
+def candidates(words: list[str]) -> list[list[str]]:
+    """The paragraph, or its windows if it is long, that have template word pairs enough to be confirmed."""
+    spots = [i for i, pair in enumerate(zip(words, words[1:])) if pair in _ANY_PAIR]
+    if len(spots) < LEAST_PAIRS:
+        return []
+    if len(words) <= LONG:
+        return [words]
+    windows = (words[max(0, i - BEFORE) : i + AFTER] for i in spots)
+    return [w for w in windows if len(_pairs(w) & _ANY_PAIR) >= LEAST_PAIRS]
+
+
+def confirmable(words: list[str]) -> bool:
+    return any(confirmed(w, f) >= CONFIRM for w in candidates(words) for f in TEMPLATES)
+
+
 def judge(text: str | None, model: Model) -> tuple[str | None, float, int, str]:
     """(family, score, number of licence paragraphs, all families) of a text; family is None without a licence."""
     found: dict[str, float] = {}
     n = 0
-    cues = model.cues
     for line in (text or "").split("\n"):
-        if cues.isdisjoint(lower := _WORD.findall(line.lower())):
-            continue
-        # In a long paragraph the notice is where the cue is.
-        spots = [i for i, w in enumerate(lower) if w in cues] if len(lower) > 60 else [0]
         best = None
-        for i in spots:
-            words = lower if len(lower) <= 60 else lower[max(0, i - 15) : i + 30]
+        for words in candidates(tokens(line)):
             p = model.probabilities(words)
             k = int(p.argmax())
             if k and p[k] >= SCORE and confirmed(words, FAMILIES[k]) >= CONFIRM and (best is None or p[k] > best[1]):
@@ -230,8 +240,7 @@ def scan(docs: DataFrame, negatives: int = NEGATIVES, id_col: str = "doc_id", te
     few = F.pmod(F.xxhash64(text_col), F.lit(labelled.RANGE)) < int(min(1.0, negatives / max(docs.count(), 1)) * labelled.RANGE)
     lines = docs.where(few).select(F.explode(F.split(F.col(text_col), "\n")).alias("line")).select(F.substring("line", 1, 400).alias("line"))
     fair = lines.where(F.length("line") > 0).orderBy(F.xxhash64("line"), "line").limit(negatives)
-    cues = cue_words()
-    model = train(sorted(t for (t,) in fair.collect() if cues.isdisjoint(tokens(t))))
+    model = train(sorted(t for (t,) in fair.collect() if not confirmable(tokens(t))))
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

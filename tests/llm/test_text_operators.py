@@ -1,5 +1,6 @@
 """Operators that judge each document on its own."""
 
+import random
 import hashlib
 import re
 import zlib
@@ -247,3 +248,17 @@ def test_licences(spark):
     got = {r.doc_id: r.licence for r in licences.scan(docs(spark, [(i, t) for i, (t, _) in notices.items()])).collect()}
     assert got == {i: f for i, (_, f) in notices.items()}
     assert licences.scan(docs(spark, [])).count() == 0
+
+
+def test_licence_filter_is_complete(spark):
+    """Notices without a usual cue word are found; what the filter drops, no template confirms."""
+    notices = [("Released under the MIT Licence.", "mit"), ("Released under the BSD 3-Clause Licence.", "bsd"), ("This project is released under the Apache 2.0 licence.", "apache"), ("Released under the MIT.", "mit")]
+    got = {r.doc_id: r.licence for r in licences.scan(docs(spark, [(i, t) for i, (t, _) in enumerate(notices)])).collect()}
+    assert got == {i: f for i, (_, f) in enumerate(notices)}
+    r = random.Random(8)
+    pool = [w for ts in licences.TEMPLATES.values() for t in ts for w in licences.tokens(t)]
+    for _ in range(2000):
+        k = r.randrange(len(pool) - 9)
+        words = pool[k : k + r.randrange(9)] + r.choices(pool, k=r.randrange(9))
+        if not licences.candidates(words):
+            assert all(licences.confirmed(words, f) < licences.CONFIRM for f in licences.TEMPLATES)
