@@ -178,16 +178,20 @@ def signature_page_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT b.item_id, count(*) AS n_documents, min(d.doc_id) AS first_doc FROM documents d JOIN benchmark b ON contains(d.text, b.text) GROUP BY 1")
 def benchmark_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark text.  A candidate must hold the text's first long word, so the join has a key;
-    the containment test then runs on the few candidates."""
+    the containment test then runs on the few candidates.  Texts of one or two words have no such word and are tested on
+    every document."""
     items = tables.table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("needle"))
     docs = tables.table(spark, sf_dir, "documents").select("doc_id", "text")
     # Inner words of a contained text are whole words of the document; the longest is rare.
     inner = lambda c: F.slice(F.split(c, " "), 2, F.greatest(F.lit(0), F.size(F.split(c, " ")) - 2))
     longest = F.array_max(F.transform(inner("needle"), lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"]
-    keyed = items.withColumn("key", longest).where("key is not null")
+    keyed = items.withColumn("key", longest)
+    wordless = docs.join(F.broadcast(keyed.where("key is null")), F.col("text").contains(F.col("needle")))
+    keyed = keyed.where("key is not null")
     words = docs.select("doc_id", F.explode(F.array_distinct(F.split("text", " "))).alias("key"))
     pairs = words.join(keyed.select("item_id", "key"), "key").select("doc_id", "item_id").distinct()
     hits = pairs.join(docs, "doc_id").join(items, "item_id").where(F.col("text").contains(F.col("needle")))
+    hits = hits.select("item_id", "doc_id").unionByName(wordless.select("item_id", "doc_id"))
     return hits.groupBy("item_id").agg(F.count("*").alias("n_documents"), F.min("doc_id").alias("first_doc"))
 
 

@@ -35,6 +35,16 @@ def test_runs(spark, sf_dir, name):
     assert catalogue.QUERIES[name](spark, sf_dir).count() > 0
 
 
+def test_short_benchmark_items(spark, tmp_path):
+    texts = {"documents": ("doc_id", ["one two three four", "two three", "stone two", "", None]), "benchmark": ("item_id", ["one", "two three", "one two three", "absent", None])}
+    con = duckdb.connect()
+    for name, (key, rows) in texts.items():
+        spark.createDataFrame(list(enumerate(rows)), f"{key} long, text string").coalesce(1).write.parquet(f"{tmp_path}/{name}.parquet")
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{tmp_path}/{name}.parquet/*.parquet'")
+    got = catalogue.QUERIES["benchmark_passages"](spark, str(tmp_path)).toPandas()
+    assert len(got) == 3 and _norm(got) == _norm(con.sql(catalogue.ORACLE_SQL["benchmark_passages"]).df())
+
+
 def test_entry(spark):
     import __spark_entry__ as entry
 
