@@ -32,7 +32,7 @@ def written(frame: DataFrame, name: str, sweep: bool = False) -> DataFrame:
     for _ in range(2 * sweep):  # the first pass finds the plans, the second one the shuffles that only they held
         gc.collect()
         spark._jvm.System.gc()
-        time.sleep(0.5)
+        time.sleep(0.1)
     return spark.read.schema(frame.schema).parquet(path)
 
 

@@ -51,6 +51,26 @@ def test_suffix(spark, monkeypatch, limit):
     assert [got[i] for i, _ in rows] == _expected(rows)
 
 
+@pytest.mark.parametrize("block, hot", [(300, 2), (1000, 10**9)])
+def test_suffix_windows_and_hot_anchors(spark, monkeypatch, block, hot):
+    """Texts that are cut into many windows, and anchors that are dealt by their runs too, give the same result."""
+    monkeypatch.setattr(suffix, "HOT", hot)
+    rows = _suffix_rows()
+    got = {r.doc_id: tuple(r)[1:] for r in suffix.digests(docs(spark, rows).repartition(5), block=block).collect()}
+    assert [got[i] for i, _ in rows] == _expected(rows)
+
+
+def test_refined():
+    """Pointers are equal exactly for equal strings."""
+    r = random.Random(8)
+    for letters, n in (("a", 300), ("ab", 2000), ("abc", 100), ("abcdefgh", 99), ("xy", 0)):
+        part = "".join(r.choice(letters) for _ in range(n))
+        data = (part + part[: n // 2] + part).encode()
+        got = suffix.refined(np.frombuffer(data, np.uint8)).tolist()
+        strings = [data[i : i + 100] for i in range(len(data) - 99)]
+        assert len(got) == len(strings) and len(set(zip(got, strings))) == len(set(got)) == len(set(strings))
+
+
 def test_suffix_awkward(spark):
     rows = suffix.digests(docs(spark, awkward()).withColumn("x", F.lit(1))).collect()
     assert len(rows) == len(awkward())
