@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .scratch import written
+from .scratch import numbered, written
 
 WORD = r"[^\x20\x09-\x0D]+"
 #: Parts of a (source, size) cell in which documents are ranked on their own.
@@ -180,6 +180,8 @@ def mix(
 def mixed(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: int = MOST_COPIES,
           id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """``docs`` as the mix holds them: rows that it leaves out are gone, rows taken twice come twice."""
+    names, docs = docs.columns, numbered(docs)  # no column's name can clash
+    id_col, text_col, source_col = (f"c{names.index(c)}" for c in (id_col, text_col, source_col))
     taken = copies(docs, weights, share, most, id_col, text_col, source_col).groupBy("id", "node").agg(F.sum("copies").alias("__copies"), F.count("*").alias("__rows"))
     taken = written(taken.where("__copies > 0"), "mix-taken").withColumnsRenamed({"id": "__id", "node": "__node"})
     joined = docs.withColumn("__key", F.xxhash64(text_col)).join(
@@ -191,4 +193,4 @@ def mixed(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SH
     several = repeated.withColumn("__i", nth).withColumn("__copies", F.expr("__copies * __i div __rows - __copies * (__i - 1) div __rows"))
     single = joined.where("__rows = 1").withColumn("__i", F.lit(1))
     every = single if taken.where("__rows > 1").isEmpty() else single.unionByName(several)
-    return every.where("__copies > 0").withColumn("__n", F.explode(F.sequence(F.lit(1), F.col("__copies").cast("int")))).select(*docs.columns)
+    return every.where("__copies > 0").withColumn("__n", F.explode(F.sequence(F.lit(1), F.col("__copies").cast("int")))).select(*docs.columns).toDF(*names)

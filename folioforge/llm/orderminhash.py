@@ -1,26 +1,27 @@
 """Near-duplicate groups by order MinHash (Marcais et al., 2019).
 
-A text's k-mers are its windows of five words, labelled with their occurrence number.  Each of several sketches
-takes the few k-mers with the least hashes and keeps them in text order, so that two sketches are equal only if the
-texts share these k-mers in the same order.  Texts with an equal sketch are candidates.  A candidate pair is a link
-if the Jaccard similarity of the occurrence-labelled k-mers is at least 0.8 and a banded alignment of the words finds
-an edit similarity (one minus distance over the longer length) of at least 0.8.
+A text's k-mers are its windows of five words, labelled with their occurrence number.  Each of SKETCHES sketches takes the
+TAKEN k-mers with the least hashes and keeps them in text order, so that two sketches are equal only if the texts share these
+k-mers in the same order.  Texts with an equal sketch are candidates.  A candidate pair is a link if a banded alignment of the
+words finds an edit similarity (one minus distance over the longer length) of at least 0.8; nothing else decides.
 
-Candidates are formed without all pairs of a group.  Equal texts are one node from the start.  Then each sketch
-bucket compares its members with one leader, and links are closed transitively.  Members of buckets that still mix
-several components get longer sketches, and all that agree in one of these are compared across components, in buckets of
-any size; a pair is left out only if the sizes or the parity bitmaps of its k-mer sets prove a similarity below 0.8.
+Candidates are formed without all pairs of a group.  Equal texts are one node from the start.  Then each sketch bucket compares its
+members with one leader, and links are closed transitively.  In buckets that still mix components, the members outside of the
+largest one are compared with the members of other components, whatever the bucket's size.  A pair is left out before its
+alignment only if the lengths, or the parity bitmaps of the words, prove a similarity below 0.8.
+
+Recall: texts with a share J of common k-mers agree in one sketch with probability of about J^2, and in none of 48 with (1 - J^2)^48.
+Changes that are spread evenly leave J = 0.2 at an edit similarity of 0.8 (86 % of pairs are candidates), 0.35 at 0.87 (99.8 %); changes
+that stand together leave more.  Texts of a few words lose most k-mers to one change.
 
 Defined cases: null and empty texts are equal to each other and to nothing else, as are all texts that lack a word
-only if equal byte for byte; texts of one to four words are one k-mer; repeated rows share a class; null ids are kept,
-a class whose ids are all null has a null class id; an empty table gives an empty result; further columns are ignored.
+only if equal byte for byte; texts of one to four words are one k-mer; words are what str.split finds; repeated rows share a class;
+null ids are kept, a class whose ids are all null has a null class id; an empty table gives an empty result; further columns are ignored.
 """
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -28,36 +29,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .graph import components
-from .scratch import written
+from .scratch import numbered, written
 
 K = 5
 SIMILARITY = 0.8
+#: Sketches of a text, and the k-mers in each.
+SKETCHES, TAKEN = 48, 2
 #: Hashes of words that a task remembers at most.
 WORDS_KEPT = 400_000
-
-
-@dataclass(frozen=True)
-class Tier:
-    """Sketches of texts with ``least`` to ``most`` k-mers: their number and the k-mers in each."""
-
-    least: int
-    most: int
-    sketches: int
-    taken: int
-
-
-#: Tiers overlap so far that any two texts with similarity 0.8 share one.  Two such texts agree in a sketch of eight
-#: with probability 0.8^8 = 0.17, in none of 40 with 0.06 %; in a sketch of two with 0.64, in none of 16 with 10^-7.
-TIERS = (Tier(1, 25, 16, 2), Tier(20, 1 << 62, 40, 8))
-#: Longer sketches for texts whose buckets still mix components; they tell 0.8 from 0.7 far better.  In a sketch of 14 two texts
-#: with similarity 0.8 agree with probability 0.044, in none of 105 with 0.9 %; at 0.82 with 0.1 %, at 0.85 with 10^-5.
-SECOND = (Tier(1, 45, 24, 4), Tier(36, 1 << 62, 105, 14))
-#: 64-bit words of one-bit minima (Li and Koenig, 2010), an estimate of the similarity; it decides about no pair.
-BIT_WORDS = 8
-#: 64-bit words of the parity bitmaps that rule pairs out.  2048 bits still tell 0.76 from 0.8 in texts of 750 k-mers; in far
-#: longer ones they rule out less, and the verification decides.
-PARITY_WORDS = 32
-#: Members of a bucket that meet in one cell; larger buckets are dealt into blocks of about this size.
+#: 64-bit words of the parity bitmaps that rule pairs out.  In texts far longer than its 1024 bits they rule out less, and the alignment
+#: decides.
+PARITY_WORDS = 16
+#: Members of a mixed bucket that a task compares with others at a time; larger buckets are dealt into blocks of about this size.
 SMALL_BUCKET = 256
 
 
@@ -69,20 +52,21 @@ def _mix(x: np.ndarray) -> np.ndarray:
 
 
 class Words:
-    """64-bit hashes of words; remembers a bounded number of them."""
+    """64-bit hashes of a text's words; remembers a bounded number of them."""
 
     def __init__(self) -> None:
-        self._known: dict[bytes, int] = {}
+        self._known: dict[str, int] = {}
 
-    def __call__(self, words: list[bytes]) -> np.ndarray:
+    def __call__(self, text: str | None) -> np.ndarray:
         import xxhash
 
         known = self._known
         if len(known) > WORDS_KEPT:
             known.clear()
+        words = (text or "").split()
         for w in words:
             if w not in known:
-                known[w] = xxhash.xxh3_64_intdigest(w)
+                known[w] = xxhash.xxh3_64_intdigest(w.encode("utf-8", "surrogatepass"))
         return np.fromiter((known[w] for w in words), np.uint64, len(words))
 
 
@@ -97,16 +81,17 @@ def kmers(hashes: np.ndarray, k: int = K) -> np.ndarray:
 
 
 def labelled(windows: np.ndarray) -> np.ndarray:
-    """Add the number of earlier equal windows to each window."""
+    """Add the number of earlier equal windows to each window; the first of its kind stays as it is."""
     order = np.argsort(windows, kind="stable")
     sorted_windows = windows[order]
     new = np.flatnonzero(np.concatenate([[True], sorted_windows[1:] != sorted_windows[:-1]]))
     if len(new) == len(windows):
         return windows
     nth = np.arange(len(windows)) - np.repeat(new, np.diff(np.append(new, len(windows))))
-    out = np.empty_like(windows)
+    again = np.flatnonzero(nth)
+    out = windows.copy()
     with np.errstate(over="ignore"):
-        out[order] = _mix(sorted_windows + nth.astype(np.uint64) * np.uint64(0xD1B54A32D192ED03))
+        out[order[again]] = _mix(sorted_windows[again] + nth[again].astype(np.uint64) * np.uint64(0xD1B54A32D192ED03))
     return out
 
 
@@ -126,53 +111,30 @@ def _least_in_order(labels: np.ndarray, seeds: np.ndarray, take: int) -> np.ndar
     return np.sort(np.argsort(x, axis=1, kind="stable")[:, :take], axis=1)  # equal hashes: the earlier position
 
 
-def one_bit_minima(hashes: np.ndarray) -> np.ndarray:
-    """The lowest bit of the least k-mer hash under each of 64 * BIT_WORDS seeds, packed into signed 64-bit numbers."""
-    out = np.zeros(64 * BIT_WORDS, bool)
-    with np.errstate(over="ignore"):
-        labels = labelled(kmers(hashes))
-        low = (labels >> np.uint64(32)).astype(np.uint32)
-        seeds = (_mix(np.arange(1, len(out) + 1, dtype=np.uint64) * np.uint64(0xE7037ED1A0B428DB)) >> np.uint64(32)).astype(np.uint32)
-        step = max(1, 4_000_000 // max(len(low), 1))
-        for a in range(0, len(out) if len(low) else 0, step):
-            x = low[None, :] ^ seeds[a : a + step, None]
-            x *= np.uint32(0x9E3779B1)
-            x ^= x >> np.uint32(15)
-            x *= np.uint32(0x85EBCA6B)
-            x ^= x >> np.uint32(13)
-            out[a : a + step] = x.min(1) & np.uint32(1)
-    return np.packbits(out).view(np.int64)
-
-
-def parities(hashes: np.ndarray) -> np.ndarray:
-    """A bitmap of 64 * PARITY_WORDS bits (Sandes et al., 2020): each the parity of the number of k-mers that fall on it."""
-    windows = kmers(hashes)
-    at = (labelled(windows) % np.uint64(64 * PARITY_WORDS)).astype(np.int64) if len(windows) else np.zeros(0, np.int64)
+def parities(words: np.ndarray) -> np.ndarray:
+    """A bitmap of 64 * PARITY_WORDS bits (Sandes et al., 2020): each the parity of the number of labelled words that fall on it."""
+    at = (labelled(words) % np.uint64(64 * PARITY_WORDS)).astype(np.int64) if len(words) else np.zeros(0, np.int64)
     return np.packbits((np.bincount(at, minlength=64 * PARITY_WORDS) & 1).astype(bool)).view(np.int64)
 
 
-def sketches(hashes: np.ndarray, tiers: tuple[Tier, ...] = TIERS) -> list[int]:
-    """Keys of all sketches of a text, as signed 64-bit numbers; each key tells its tier and number."""
-    windows = kmers(hashes)
+def sketches(words: np.ndarray) -> np.ndarray:
+    """Keys of all sketches of a text, as signed 64-bit numbers; each key tells its sketch's number."""
+    windows = kmers(words)
     n = len(windows)
     if not n:
-        return []
-    labels = labelled(windows)
-    keys = []
+        return np.zeros(0, np.int64)
+    labels, take, keys = labelled(windows), min(TAKEN, n), []
     with np.errstate(over="ignore"):
-        for tier in tiers:
-            if not tier.least <= n <= tier.most:
-                continue
-            take = min(tier.taken, n)
-            seeds = _mix(np.arange(1, tier.sketches + 1, dtype=np.uint64) * np.uint64(0xA0761D6478BD642F))
-            for a in range(0, tier.sketches, max(1, 4_000_000 // n)):
-                part = seeds[a : a + max(1, 4_000_000 // n)]
-                ordered = windows[_least_in_order(labels, part, take)]
-                key = part + np.uint64(tier.taken)
-                for i in range(take):
-                    key = _mix(key * np.uint64(0x9E3779B97F4A7C15) + ordered[:, i])
-                keys.append(key.view(np.int64))
-    return np.concatenate(keys).tolist() if keys else []
+        seeds = _mix(np.arange(1, SKETCHES + 1, dtype=np.uint64) * np.uint64(0xA0761D6478BD642F))
+        step = max(1, 4_000_000 // n)
+        for a in range(0, SKETCHES, step):
+            part = seeds[a : a + step]
+            ordered = windows[_least_in_order(labels, part, take)]
+            key = part + np.uint64(TAKEN)
+            for i in range(take):
+                key = _mix(key * np.uint64(0x9E3779B97F4A7C15) + ordered[:, i])
+            keys.append(key.view(np.int64))
+    return np.concatenate(keys)
 
 
 def banded_distance(a: list, b: list, most: int) -> int:
@@ -213,37 +175,54 @@ class Parsed:
     """What the verification needs of one text."""
 
     def __init__(self, text: str | None, words: Words):
-        self.words = words((text or "").encode("utf-8", "surrogatepass").split()).tolist()
-        self.grams = np.sort(labelled(kmers(np.array(self.words, np.uint64)))) if self.words else np.zeros(0, np.uint64)
+        hashes = words(text)
+        self.words = hashes.tolist()
+        self.labels = np.sort(labelled(hashes)) if len(hashes) else hashes
+
+
+def most_edits(longer: int, least: float = SIMILARITY) -> int:
+    return int((1 - least) * longer + 1e-9)
 
 
 def similar(a: Parsed, b: Parsed, least: float = SIMILARITY) -> bool:
-    """Whether two texts are a link: shingle similarity first, then the banded alignment."""
-    x, y = len(a.grams), len(b.grams)
-    if not x or not y or min(x, y) < least * max(x, y):
+    """Whether two texts are a link: a banded alignment of their words finds few enough edits.
+
+    Words that only one of the texts has are edits in any alignment, so pairs with too many of them are not aligned.
+    """
+    x, y = a.words, b.words
+    longer = max(len(x), len(y))
+    most = most_edits(longer, least)
+    if not x or not y or longer - min(len(x), len(y)) > most:
         return False
-    common = len(np.intersect1d(a.grams, b.grams, assume_unique=True))
-    if common < least * (x + y - common) - 1e-9:
+    if len(np.intersect1d(a.labels, b.labels, assume_unique=True)) < longer - most:
         return False
-    longer = max(len(a.words), len(b.words))
-    most = int((1 - least) * longer + 1e-9)
-    return banded_distance(a.words, b.words, most) <= most
+    first, last = 0, 0  # what both begin and end with needs no alignment
+    shorter = min(len(x), len(y))
+    while first < shorter and x[first] == y[first]:
+        first += 1
+    while last < shorter - first and x[-1 - last] == y[-1 - last]:
+        last += 1
+    return banded_distance(x[first : len(x) - last], y[first : len(y) - last], most) <= most
 
 
 def signatures(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """A map over the scan: id, node (digest of the text), keys (its sketches)."""
+    """A map over the scan: id, node (digest of the text), keys (its sketches), n (its words), bits (their parity bitmap)."""
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = Words()
         for batch in batches:
-            keys = [sketches(words((x or "").encode("utf-8", "surrogatepass").split())) for x in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("id"), batch.column("node"), pa.array(keys, pa.list_(pa.int64()))], ["id", "node", "keys"]
-            )
+            keys, n, bits = [], [], []
+            for text in batch.column("text"):
+                hashes = words(text.as_py())
+                keys.append(sketches(hashes))
+                n.append(len(hashes))
+                bits.append(parities(hashes))
+            columns = [pa.array(keys, pa.list_(pa.int64())), pa.array(n, pa.int64()), pa.array(bits, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("node"), *columns], ["id", "node", "keys", "n", "bits"])
 
     return docs.select(F.col(id_col).alias("id"), node_of(text_col), F.col(text_col).alias("text")).mapInArrow(
-        run, f"id {kind}, node binary, keys array<long>"
+        run, f"id {kind}, node binary, keys array<long>, n long, bits array<long>"
     )
 
 
@@ -252,21 +231,6 @@ def node_of(text_col: str):
     return F.unhex(F.md5(F.coalesce(F.col(text_col), F.lit("")))).alias("node")
 
 
-def _longer(texts: DataFrame) -> DataFrame:
-    """node, keys, n, bits: the longer sketches, the number of k-mers and their parity bitmap of texts."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = Words()
-        for batch in batches:
-            hashes = [words((x or "").encode("utf-8", "surrogatepass").split()) for x in batch.column("text").to_pylist()]
-            keys = pa.array([sketches(h, SECOND) for h in hashes], pa.list_(pa.int64()))
-            n = pa.array([len(kmers(h)) for h in hashes], pa.int64())
-            bits = pa.array([parities(h).tolist() for h in hashes], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([batch.column("node"), keys, n, bits], ["node", "keys", "n", "bits"])
-
-    return texts.select("node", "text").mapInArrow(run, "node binary, keys array<long>, n long, bits array<long>")
-
-
 def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """Those of the pairs (a, b) that are links.  Both joins are plain joins on a node, split if one node is hot."""
 
@@ -298,31 +262,57 @@ def _stars(rows: DataFrame) -> DataFrame:
 
 
 def _mixed(rows: DataFrame) -> DataFrame:
-    """Rows of buckets that hold members of several components, with the bucket's size."""
-    sizes = written(
-        rows.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.count("*").alias("size")).where("x <> y").select("key", "size"),
-        "mixed",
-    )
-    return rows.join(sizes, "key")
+    """Rows of buckets that hold members of several components."""
+    several = written(rows.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("key"), "mixed")
+    return rows.join(several, "key")
+
+
+def _near(a: str, b: str):
+    """Whether lengths and bitmaps leave a pair a chance.  With c words in common (repeats counted) a pair has max(n) - c edits at least, and
+    n_a + n_b - 2 c words that only one of them has; two parity bitmaps never differ in more bits than that."""
+    na, nb = F.col(f"n{a}"), F.col(f"n{b}")
+    longer = F.greatest(na, nb)
+    most = F.floor((1 - SIMILARITY) * longer + 1e-9)
+    differ = sum(F.bit_count(F.col(f"w{i}{a}").bitwiseXOR(F.col(f"w{i}{b}"))) for i in range(PARITY_WORDS))
+    return (F.least(na, nb) >= longer - most) & (differ <= na + nb - 2 * longer + 2 * most)
+
+
+def _sided(frame: DataFrame, side: str, *same: str) -> DataFrame:
+    return frame.select(*same, *[F.col(c).alias(c + side) for c in frame.columns if c not in same])
+
+
+def _possible(pairs: DataFrame, bits: DataFrame) -> DataFrame:
+    """Those of the pairs (a, b) that lengths and bitmaps leave a chance."""
+    one = pairs.join(_sided(bits, "a").withColumnRenamed("nodea", "a"), "a")
+    return one.join(_sided(bits, "b").withColumnRenamed("nodeb", "b"), "b").where(_near("a", "b")).select("a", "b")
 
 
 def _across(mixed: DataFrame, bits: DataFrame) -> DataFrame:
-    """Pairs (a, b) of a bucket's members in different components, but for those whose k-mer sets cannot reach SIMILARITY.
+    """Pairs (a, b) of a bucket's members in different components, but for those that cannot reach SIMILARITY.
 
-    A bucket of more than SMALL_BUCKET members is dealt into blocks, and each two blocks meet in a cell of their own, so no task
-    holds a whole bucket.  J >= 0.8 means that the k-mer sets differ in at most a ninth of both counts; two parity
-    bitmaps never differ in more bits than the sets in k-mers, so the bitmaps leave out no link.
+    A bucket is split by length: a text goes to the cell of its length class and to the next one, so texts whose lengths
+    differ by a fifth at most meet.  A cell of m members, of which r are not in its largest component, is dealt into blocks of
+    about SMALL_BUCKET members, and those r meet each block: r x m / SMALL_BUCKET rows and r x m tests, in as many tasks as blocks.
     """
+    known = mixed.join(bits, "node").withColumn("class", F.floor(F.log("n") / F.log(F.lit(1 / SIMILARITY)) + 1e-9))
+    placed = known.withColumn("cell", F.explode(F.array(F.col("class"), F.col("class") + 1)))
+    cell = ["key", "cell"]
+    parts = placed.groupBy(*cell, "root").count()
+    sizes = written(
+        parts.groupBy(*cell).agg(F.max(F.struct("count", "root")).alias("big"), F.sum("count").alias("size"), F.count("*").alias("roots"))
+        .where("roots > 1").select(*cell, F.col("big.root").alias("big"), "size"),
+        "sizes",
+    )
     blocks = F.ceil(F.col("size") / SMALL_BUCKET)
-    dealt = mixed.join(bits, "node").withColumn("block", F.pmod(F.xxhash64("node"), blocks)).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    cells = written(dealt.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "root", *bits.columns), "cells")
-    own = ["key", "i", "j"]
-    one, two = (cells.select(*own, *[F.col(c).alias(c + side) for c in cells.columns if c not in own]) for side in "ab")
-    differ = sum(F.bit_count(F.col(f"w{i}a").bitwiseXOR(F.col(f"w{i}b"))) for i in range(PARITY_WORDS))
-    near = (F.least("na", "nb") * 5 >= F.greatest("na", "nb") * 4) & (differ * 9 <= F.col("na") + F.col("nb"))
-    met = (F.col("i") == F.col("j")) | (F.col("blocka") != F.col("blockb"))
-    cross = (F.col("nodea") < F.col("nodeb")) & (F.col("roota") != F.col("rootb")) & met & near
-    return one.join(two, own).where(cross).select(F.col("nodea").alias("a"), F.col("nodeb").alias("b"))
+    open_ = written(placed.join(sizes, cell), "cells")
+    rest = open_.where("root <> big").withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
+    every = open_.withColumn("block", F.pmod(F.xxhash64("node"), blocks))
+    same = [*cell, "block"]
+    columns = [*same, "node", "root", "class", "n", *[f"w{i}" for i in range(PARITY_WORDS)]]
+    pairs = _sided(rest.select(*columns), "a", *same).join(_sided(every.select(*columns, (F.col("root") != F.col("big")).alias("small")), "b", *same), same)
+    once = ~F.col("smallb") | (F.col("nodea") < F.col("nodeb"))
+    meet = (F.col("roota") != F.col("rootb")) & once & (F.greatest("classa", "classb") == F.col("cell")) & _near("a", "b")
+    return pairs.where(meet).select(F.least("nodea", "nodeb").alias("a"), F.greatest("nodea", "nodeb").alias("b"))
 
 
 def _rooted(rows: DataFrame, roots: DataFrame) -> DataFrame:
@@ -331,76 +321,59 @@ def _rooted(rows: DataFrame, roots: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Class of every row: id, node, class_id (least id of the class), n_texts, n_links, keep.
+    """Class of every row: id, node, class_id (least id of the class), n_texts (different texts of the class), keep.
 
-    ``n_links`` counts the verified links of the row's text with other texts.  ``keep`` marks the row (or the equal
-    repeated rows) that stands for its class: the least id, and of texts under the same id the least digest.
+    ``keep`` marks the row (or the equal repeated rows) that stands for its class: the least id, and of texts under the same id
+    the least digest.
     """
     rows = written(signatures(docs, id_col, text_col), "signatures")
     nodes = written(
-        rows.groupBy("node").agg(F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "keys")).alias("s")).select("node", "s.id", "s.keys"), "nodes"
+        rows.groupBy("node").agg(F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "keys", "n", "bits")).alias("s")).select("node", "s.id", "s.keys", "s.n", "s.bits"), "nodes"
     )
     spread = nodes.select("node", F.explode("keys").alias("key"))
     shared = written(spread.groupBy("key").count().where("count > 1"), "shared", sweep=True)
     members = written(spread.join(shared, "key").select("key", "node", "count"), "members", sweep=True)
-    # Texts of all nodes that have a candidate, once.
-    involved = written(members.select("node").distinct(), "involved")
+    # Texts and bitmaps of all nodes that have a candidate, once.
+    ranks = written(members.groupBy("node").agg((-F.sum(F.col("count") - 1)).alias("rank")), "ranks")
+    bits = written(nodes.join(ranks.select("node"), "node").select("node", "n", *[F.col("bits")[i].alias(f"w{i}") for i in range(PARITY_WORDS)]), "bits")
     texts = written(
         docs.select(F.col(id_col).alias("id"), node_of(text_col), F.col(text_col).alias("text"))
-        .join(nodes.select("node", "id").join(involved, "node"), ["node", "id"], "left_semi")
+        .join(nodes.select("node", "id").join(ranks, "node"), ["node", "id"], "left_semi")
         .dropDuplicates(["node"])
         .select("node", "text"),
         "texts",
         sweep=True,
     )
     # Leaders are texts that share sketches with many others: near the middle of a group, they link to most of it.
-    ranks = written(members.groupBy("node").agg((-F.sum(F.col("count") - 1)).alias("rank")), "ranks")
     fresh = members.join(ranks, "node").select("key", "node", F.col("node").alias("root"), "rank")
-    links = written(_verified(written(_stars(fresh), "stars"), texts), "verified", sweep=True)
+    links = written(_verified(written(_possible(_stars(fresh), bits), "stars"), texts), "verified", sweep=True)
     roots = written(components(links), "roots")
-
-    # What is left: members of buckets with several components.  First those that agree in a longer sketch, which joins most
-    # of what belongs together; then all that agree in a sketch and still are in different components.
+    # What is left: members of buckets with several components.
     short = members.select("key", "node")
-    open_nodes = written(_mixed(_rooted(short, roots)).select("node").distinct(), "open", sweep=True)
-    longer = written(_longer(texts.join(open_nodes, "node")), "longer")
-    bits = longer.select("node", "n", *[F.col("bits")[i].alias(f"w{i}") for i in range(PARITY_WORDS)])
-    for keys in (longer.select(F.explode("keys").alias("key"), "node"), short.join(open_nodes, "node")):
-        pairs = written(_across(_mixed(_rooted(keys, roots)), bits).distinct(), "pairs", sweep=True)
-        links = written(_union([links, written(_verified(pairs, texts), "verified")]), "all_links")
-        roots = written(components(links), "roots")
-    both = links.select(F.col("a").alias("node")).unionByName(links.select(F.col("b").alias("node")))
-    degrees = both.groupBy("node").agg(F.count("*").alias("n_links"))
-
-    member = written(
-        nodes.select("node", "id").join(roots, "node", "left").join(degrees, "node", "left")
-        .select("node", "id", F.coalesce("root", "node").alias("root"), F.coalesce("n_links", F.lit(0)).alias("n_links")),
-        "member",
-    )
+    pairs = written(_across(_mixed(_rooted(short, roots)), bits).distinct(), "pairs", sweep=True)
+    links = written(links.unionByName(_verified(pairs, texts)), "all_links")
+    roots = written(components(links), "roots")
+
+    member = written(nodes.select("node", "id").join(roots, "node", "left").select("node", "id", F.coalesce("root", "node").alias("root")), "member")
     classes = written(
         member.groupBy("root").agg(
             F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "node")).alias("first"), F.count("*").alias("n_texts")
         ).select("root", F.col("first.id").alias("class_id"), F.col("first.node").alias("class_node"), "n_texts"),
         "classes",
     )
-    by_node = written(member.join(classes, "root").select("node", "class_id", "class_node", "n_texts", "n_links"), "by_node")
+    by_node = written(member.join(classes, "root").select("node", "class_id", "class_node", "n_texts"), "by_node")
     return rows.select("id", "node").join(by_node, "node").select(
-        "id", "node", "class_id", "n_texts", "n_links", (F.col("id").eqNullSafe(F.col("class_id")) & (F.col("node") == F.col("class_node"))).alias("keep")
+        "id", "node", "class_id", "n_texts", (F.col("id").eqNullSafe(F.col("class_id")) & (F.col("node") == F.col("class_node"))).alias("keep")
     )
 
 
-def _union(frames: list[DataFrame]) -> DataFrame:
-    out = frames[0]
-    for f in frames[1:]:
-        out = out.unionByName(f)
-    return out
-
-
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with one row of each class.  Equal repeated rows of one id become one row."""
-    kept = written(near_duplicates(docs, id_col, text_col).where("keep").select(F.col("id").alias("__id"), F.col("node").alias("__n")), "kept")
+    own = numbered(docs)  # no column's name can clash
+    own_id, own_text = (own.columns[docs.columns.index(c)] for c in (id_col, text_col))
+    kept = written(near_duplicates(own, own_id, own_text).where("keep").select("id", "node"), "kept")
     single = kept.distinct()
     repeated = kept.count() > single.count()
-    keyed = docs.withColumn("__node", node_of(text_col))
-    joined = keyed.join(single if repeated else kept, F.col("__n").eqNullSafe(F.col("__node")) & F.col("__id").eqNullSafe(F.col(id_col)), "left_semi")
-    return (joined.dropDuplicates(["__node", id_col]) if repeated else joined).drop("__node")
+    keyed = own.withColumn("node", node_of(own_text))
+    joined = keyed.alias("d").join(single.alias("k"), (F.col("k.node") == F.col("d.node")) & F.col("k.id").eqNullSafe(F.col(f"d.{own_id}")), "left_semi")
+    return (joined.dropDuplicates(["node", own_id]) if repeated else joined).drop("node").toDF(*docs.columns)

@@ -3,6 +3,8 @@
 import random
 from collections import Counter
 
+import numpy as np
+
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
 
@@ -31,19 +33,34 @@ def awkward():
     return [(i, t, s) for (i, t), s in zip(rows, ["s0", "s1", None, "s0", "s2"] * 9)]
 
 
-def grams(text):
-    w = (text or "").encode().split()
-    return Counter(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))) if w else Counter()
-
-
 def edit(a, b):
-    row = list(range(len(b) + 1))
-    for i, x in enumerate(a, 1):
-        new = [i]
-        for j, y in enumerate(b, 1):
-            new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (x != y)))
-        row = new
-    return row[-1]
+    """Edit distance by the plain table, a row at a time."""
+    codes = {w: k for k, w in enumerate(dict.fromkeys([*a, *b]))}
+    y, steps = np.array([codes[w] for w in b], int), np.arange(len(b) + 1)
+    row = steps.copy()
+    for i, w in enumerate(a, 1):
+        best = np.minimum(row[1:] + 1, row[:-1] + (y != codes[w]))
+        row = np.minimum.accumulate(np.concatenate([[i], best]) - steps) + steps  # the cell to the left, plus one
+    return int(row[-1])
+
+
+def near_pairs(texts, least=0.8):
+    """Index pairs of different texts with an edit similarity of at least ``least``, each with it, by aligning all pairs of whole texts.
+
+    Only pairs that lack too many of each other's words for any alignment are left out."""
+    split = [(t or "").split() for t in texts]
+    bags = [Counter(w) for w in split]
+    out = []
+    for i, x in enumerate(split):
+        for j in range(i):
+            y = split[j]
+            longer = max(len(x), len(y))
+            most = int((1 - least) * longer + 1e-9)
+            if x and y and texts[i] != texts[j] and longer - min(len(x), len(y)) <= most and (bags[i] & bags[j]).total() >= longer - most:
+                d = edit(x, y)
+                if d <= most:
+                    out.append((j, i, 1 - d / longer))
+    return out
 
 
 def near_classes(rows):
@@ -55,16 +72,10 @@ def near_classes(rows):
             i = parent[i]
         return i
 
-    parts = [grams(t) for _, t in rows]
-    for i in range(len(rows)):
-        for j in range(i):
-            a, b = rows[i][1] or "", rows[j][1] or ""
-            both = sum((parts[i] & parts[j]).values())
-            jaccard = both / max(1, sum(parts[i].values()) + sum(parts[j].values()) - both)
-            if a == b or (both and jaccard >= 0.8):
-                if a != b:
-                    x, y = a.encode().split(), b.encode().split()
-                    if len(x) < 2000 and edit(x, y) > 0.2 * max(len(x), len(y)) + 1e-9:
-                        continue
-                parent[max(find(i), find(j))] = min(find(i), find(j))
+    first = {}
+    same = [(first.setdefault(t or "", i), i) for i, (_, t) in enumerate(rows)]
+    texts = [t or "" for _, t in rows]
+    for a, b, *_ in same + near_pairs(texts):
+        a, b = find(a), find(b)
+        parent[max(a, b)] = min(a, b)
     return [find(i) for i in range(len(rows))]
