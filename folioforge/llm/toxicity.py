@@ -7,7 +7,8 @@ the text's length, and a logistic curve over both turns them into a score.
 
 The lexicon is a fixed list, plus words and word stems that the labels show to be signs of toxicity; weights are log-odds in
 the labelled sample.  A stem stands for all words that begin with it, and is learned only if several different words do, so that the
-words of one much copied document do not become terms.  Stems keep their accents: they are matched in lower-cased text.
+words of one much copied document do not become terms.  Stems are learned and matched in folded text like terms, by the same automaton, and
+do not count inside exception phrases either.
 Fitting uses at most ``labelled.FIT_ROWS`` labelled rows, from which only counts (at most MOST_TERMS of them each) and
 three numbers a row come to the driver.
 
@@ -29,6 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import labelled
+from .scratch import written
 
 #: Insults and slurs of common use, in folded form (English, German, French, Spanish).
 TERMS = tuple(
@@ -60,7 +62,6 @@ DIGITS = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b",
 _DISGUISED = re.compile(r"(?<![a-z0-9])[0134579@$](?=[a-z])|(?<=[a-z])[013457890@$!|]+(?=[a-z])|(?<=[a-z])[013457$]{1,2}(?![a-z0-9$#%&*])")
 _MARKS = re.compile("[̀-ͯ]+")
 _OTHER = re.compile("[^a-z]+")
-_LETTERS = re.compile(r"[^\W\d_]+")
 
 #: Words from the labels that join the lexicon at most, and the share of toxic texts that must hold one.
 MOST_TERMS, LEAST_SHARE = 200, 0.08
@@ -85,15 +86,10 @@ def fold(text: str | None) -> str:
     return f" {_OTHER.sub(' ', text).strip()} "
 
 
-def letters(text: str | None) -> str:
-    """Lower-case words with their accents and single spaces, a space at both ends."""
-    return f" {' '.join(_LETTERS.findall(unicodedata.normalize('NFC', text).lower()))} " if text else " "
-
-
 def stems(text: str | None) -> dict[str, set[str]]:
     """Proper beginnings of a text's words, with the different words; the fixed terms are left out."""
     out: dict[str, set[str]] = {}
-    for w in set(letters(text).split()).difference(TERMS):
+    for w in set(fold(text).split()).difference(TERMS):
         for n in STEM_LENGTHS:
             if n < len(w):
                 out.setdefault(w[:n], set()).add(w)
@@ -111,39 +107,36 @@ class Lexicon:
 
 
 class Matcher:
-    """The automaton of a lexicon."""
+    """The automaton of a lexicon: exception phrases and terms between blanks, stems after one."""
 
     def __init__(self, lexicon: Lexicon):
         import ahocorasick
 
         self._found = ahocorasick.Automaton()
-        for phrase in lexicon.exceptions:
-            self._found.add_word(f" {phrase} ", (len(phrase) + 2, None))
+        for stem, weight in lexicon.stems.items():
+            self._found.add_word(f" {stem}", (len(stem) + 1, weight, "stem"))
         for term, weight in lexicon.weights.items():
-            self._found.add_word(f" {term} ", (len(term) + 2, weight))
+            self._found.add_word(f" {term} ", (len(term) + 2, weight, "term"))
+        for phrase in lexicon.exceptions:
+            self._found.add_word(f" {phrase} ", (len(phrase) + 2, 0.0, "exception"))
         self._some = len(self._found) > 0
         if self._some:
             self._found.make_automaton()
-        self._begun = ahocorasick.Automaton()
-        for stem, weight in lexicon.stems.items():
-            self._begun.add_word(f" {stem}", weight)
-        if lexicon.stems:
-            self._begun.make_automaton()
-        self._any_stem = bool(lexicon.stems)
 
     def spans(self, folded: str) -> list[tuple[int, int, float]]:
-        """(start, end, weight) of the terms that count, in the folded text."""
-        terms, free = [], []
-        for end, (n, weight) in self._found.iter(folded) if self._some else ():
-            (free if weight is None else terms).append((end - n + 1, end + 1, weight))
-        return [t for t in terms if not any(a <= t[0] and t[1] <= b for a, b, _ in free)] if free else terms
+        """(start, end, weight) of what counts in the folded text; a word that is a term counts as no stem."""
+        found: dict[str, list] = {"stem": [], "term": [], "exception": []}
+        for end, (n, weight, kind) in self._found.iter(folded) if self._some else ():
+            found[kind].append((end - n + 1, end + 1, weight))
+        whole = {a for a, *_ in found["term"]}
+        counted = found["term"] + [x for x in found["stem"] if x[0] not in whole]
+        free = found["exception"]
+        return [t for t in counted if not any(a <= t[0] and t[1] <= b for a, b, _ in free)] if free else counted
 
     def measure(self, text: str | None) -> tuple[float, int, int]:
-        """Sum of weights, number of words, number of terms."""
+        """Sum of weights, number of words, number of terms and stems."""
         folded = fold(text)
         found = [w for *_, w in self.spans(folded)]
-        if self._any_stem:
-            found += [w for _, w in self._begun.iter(letters(text))]
         return float(sum(found)), max(folded.count(" ") - 1, 0), len(found)
 
 
@@ -182,7 +175,7 @@ def learn(docs: DataFrame, labels: DataFrame, label: str, train, rows: int = lab
                 ys += [y] * len(own)
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.string()), pa.array(ys, pa.int32())], ["word", "y"])
 
-    texts = labelled.sample(docs, labels, label, train, rows)
+    texts = written(labelled.sample(docs, labels, label, train, rows), "toxic-sample")  # read seven times, made once
     totals = texts.agg(F.count(F.when(F.col("y") == 1, 1)).alias("toxic"), F.count(F.when(F.col("y") == 0, 1)).alias("clean")).first()
     toxic, clean = totals.toxic, totals.clean
     if not toxic or not clean:
