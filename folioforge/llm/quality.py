@@ -160,9 +160,10 @@ def model(docs: DataFrame, labels: DataFrame, label: str, train, rows: int = lab
 
     table = labelled.sample(docs, labels, label, train, rows).mapInArrow(bitmaps, "y int, bits binary").toArrow()
     y = np.array(table.column("y"), np.int64)
-    x = np.unpackbits(np.frombuffer(b"".join(table.column("bits").to_pylist()), np.uint8)).reshape(-1, BUCKETS).astype(bool)
-    order = np.lexsort([x.sum(1), y])  # the fit does not depend on the order of arrival
-    return fit(x[order], y[order])
+    bits = table.column("bits").to_pylist()
+    order = sorted(range(len(y)), key=lambda i: (y[i], bits[i]))  # rows that are still level are equal: the order of arrival does not matter
+    x = np.unpackbits(np.frombuffer(b"".join(bits[i] for i in order), np.uint8)).reshape(-1, BUCKETS).astype(bool)
+    return fit(x, y[order])
 
 
 def score(docs: DataFrame, fitted: tuple[np.ndarray, float, float], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
