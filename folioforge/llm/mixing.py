@@ -21,8 +21,9 @@ from pyspark.sql import functions as F
 from .scratch import numbered, written
 
 WORD = r"[^\x20\x09-\x0D]+"
-#: Parts of a (source, size) cell in which documents are ranked on their own.
-CELL_PARTS = 256
+#: Parts of a (source, size) cell in which documents are ranked on their own: one for each PART_ROWS rows of the whole table, so that no part
+#: can hold more than about so many rows of one size, and at least CELL_PARTS.
+CELL_PARTS, PART_ROWS = 256, 100_000
 MOST_STEPS = 40
 TOLERANCE = 1e-7
 CORRECTIONS = 4
@@ -98,11 +99,14 @@ def multipliers(cells: DataFrame, goals: DataFrame, most: float) -> DataFrame:
         state = written(moved.unionByName(fixed), "dual")
         if (state.agg(F.max("error")).first()[0] or 0.0) < TOLERANCE:
             break
+    else:
+        raise RuntimeError("the dual did not converge")
     return state.select("s", "scale", "lam")
 
 
 def copies(docs: DataFrame, weights: tuple[int, ...], share: float, most: int, id_col: str, text_col: str, source_col: str) -> DataFrame:
     """Copies of every row: id, node, size, source_size, target, copies."""
+    cell_parts = max(CELL_PARTS, docs.count() // PART_ROWS)
     rows = written(
         docs.select(
             F.col(id_col).alias("id"),
@@ -110,7 +114,7 @@ def copies(docs: DataFrame, weights: tuple[int, ...], share: float, most: int, i
             F.coalesce(F.concat(F.lit("s"), F.col(source_col).cast("string")), F.lit("n")).alias("s"),
             F.col(source_col).alias("source"),
             word_count(text_col).alias("size"),
-            F.pmod(F.xxhash64(F.col(id_col), F.lit(17)), F.lit(CELL_PARTS)).cast("int").alias("part"),
+            F.pmod(F.xxhash64(F.col(id_col), F.lit(17)), F.lit(cell_parts)).cast("int").alias("part"),
             F.xxhash64(F.col(id_col), F.lit(29)).alias("draw"),
         ),
         "mix-rows",
