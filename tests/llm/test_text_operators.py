@@ -6,6 +6,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -217,11 +218,22 @@ def test_fold_and_match():
 
 
 def test_stems():
-    m = toxicity.Matcher(toxicity.Lexicon({}, {"gré": 1.5}))
-    assert m.measure("Gréba, xgréba gré grébo") == (4.5, 4, 3) and m.measure("grebo") == (0.0, 1, 0)
+    """Stems are matched like terms: disguised as well as plain, and not inside exception phrases."""
+    m = toxicity.Matcher(toxicity.Lexicon({"greb": 1.0}, {"gre": 1.5, "idio": 2.0}, ("grebo park",)))
+    assert m.measure("Gréba, xgréba gré grébo") == (4.5, 4, 3) and m.measure("greb") == (1.0, 1, 1) and m.measure("grebo park") == (0.0, 2, 0)
+    assert m.measure("idiotic idiotov") == m.measure("1d10tic idі0tov") == (4.0, 2, 2)
     assert toxicity.stems("abcde") == {"abc": {"abcde"}, "abcd": {"abcde"}}
 
 
+def test_order_of_arrival(spark, big):
+    """Permuted input gives bit-equal models."""
+    d, l = (spark.read.parquet(f"{big}/{t}.parquet") for t in ("documents", "labels"))
+    one, two = (quality.model(x, l, "quality", labelled.fold("id", 4) != 2) for x in (d, d.repartition(7).orderBy(d.text)))
+    assert (one[0] == two[0]).all() and one[1:] == two[1:]
+    one, two = (toxicity.learn(x, l, "toxic", labelled.fold("id", 5) != 0) for x in (d, d.repartition(7).orderBy(d.text)))
+    assert one == two
+
+
 def test_scores_without_labels(spark):
     d = docs(spark, [*awkward(), (99, "you idiot scum trash moron")])
     empty = spark.createDataFrame([], "doc_id long, quality int, toxic int")
