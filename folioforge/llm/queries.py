@@ -48,7 +48,7 @@ def op8_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = orderminhash.near_duplicates(_table(spark, sf_dir, "documents"))
-    return found.select(F.col("id").alias("doc_id"), "class_id", "n_texts", "n_links", "keep")
+    return found.select(F.col("id").alias("doc_id"), "class_id", "n_texts", "keep")
 
 
 def op10_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
