@@ -24,6 +24,12 @@ def fold(texts: pd.Series) -> pd.Series:
     return texts.map(fold_text)
 
 
+def exact_fold(text: Column) -> Column:
+    """Exact fold; only texts with more than ASCII go to Python."""
+    plain = text.rlike(r"^[\x00-\x7F]*$")
+    return F.when(plain, fold_simple(text)).otherwise(fold(F.when(~plain, text)))
+
+
 def fold_simple(text: Column) -> Column:
     """Fold of text without letters that decompose: lower case, letters and digits only.  Runs in the JVM."""
     return F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}]", "")
@@ -72,8 +78,26 @@ def safe_file_name(name: Column, suffix: str = ".pdf") -> Column:
 
 
 def edge_height(value: Column, height: Column) -> Column:
-    """Pixels of an edge given as ``8%``, a ratio below one, or pixels; invalid values are 0, large ones the height."""
+    """Whole pixels of an edge given as ``8%``, a ratio below one, or pixels; invalid values are 0, large ones the height."""
     text = F.trim(value)
-    number = F.regexp_replace(text, "%$", "").try_cast("double")
+    number = F.trim(F.regexp_replace(text, "%$", "")).try_cast("double")
     pixels = F.when(text.endswith("%"), height * number / 100).when((number > 0) & (number < 1), height * number).otherwise(number)
-    return F.when(pixels.isNull(), 0).otherwise(F.greatest(F.lit(0), F.least(height, F.bround(pixels, 0).cast("int"))))
+    whole = F.greatest(F.lit(0.0), F.least(height.cast("double"), F.signum(pixels) * F.floor(F.abs(pixels))))
+    return F.when(pixels.isNull() | F.isnan(pixels), 0).otherwise(whole.cast("int"))
+
+
+def latin1(text: Column) -> Column:
+    """The bytes of a text read one by one as Latin-1 letters."""
+    return F.decode(F.encode(text, "UTF-8"), "ISO-8859-1")
+
+
+def markers_of(text: Column) -> Column:
+    """Marker lines of a settings text: trimmed, without blank lines and comments."""
+    return F.filter(F.transform(F.split(text, "\n"), lambda x: F.trim(x)), lambda x: (x != "") & ~x.startswith("#"))
+
+
+def occurrences(text: Column, alias: str) -> Column:
+    """Places (from 1) at which a text holds the alias, overlapping ones too."""
+    n = len(alias)
+    places = F.filter(F.sequence(F.lit(1), F.length(text) - n + 1), lambda i: F.substring(text, i, F.lit(n)) == alias)
+    return F.when(text.contains(alias), places).otherwise(F.array().cast("array<int>"))

@@ -6,6 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..sources import tables
+from . import sampling
+
 SYMBOLS = r"[#*$%&|<>]"
 
 
@@ -39,6 +42,30 @@ def classify(text_ratio: Column, image_ratio: Column) -> tuple[Column, Column]:
     return kind, sure
 
 
+def staged_profiles(pages: DataFrame, stages: tuple[int, ...] = (3, 5, 8)) -> DataFrame:
+    """document, stage, page_count, ratios, kind and confidence of each nested sample of each document, all at once.
+
+    Only the pages of the largest sample are measured, at most ``max(stages)`` of a document.
+    """
+    samples = staged_pages(pages, stages)
+    wanted = samples.select("document", "doc_id").distinct()
+    evidence = page_evidence(pages.join(wanted, ["document", "doc_id"], "left_semi"))
+    keyed = evidence.join(samples, ["document", "doc_id"]).withColumn("document", F.struct("document", "stage"))
+    rows = ratios(keyed).select("document.document", "document.stage", "page_count", "text_layer_ratio", "full_page_image_ratio")
+    kind, sure = classify(F.col("text_layer_ratio"), F.col("full_page_image_ratio"))
+    return rows.withColumns({"kind": kind, "confidence": sure})
+
+
+def staged_pages(pages: DataFrame, stages: tuple[int, ...] = (3, 5, 8)) -> DataFrame:
+    """document, stage, doc_id of the pages of the nested samples; worked out on ids alone."""
+    ids = pages.select("document", "doc_id")
+    counts = ids.groupBy("document").agg(F.count("*").cast("int").alias("n"))
+    lists = sampling.staged(F.col("n"), stages)
+    each = F.array(*[F.struct(F.lit(s).alias("stage"), a.alias("at")) for s, a in zip(sorted(set(stages)), lists)])
+    at = counts.select("document", F.explode(each).alias("s")).select("document", "s.stage", F.explode("s.at").alias("page_index"))
+    return tables.numbered(ids).join(at, ["document", "page_index"]).select("document", "stage", "doc_id")
+
+
 def page_streams(pages: DataFrame) -> DataFrame:
     """document, doc_id, line: each different line of a page once."""
     distinct = F.explode(F.array_distinct(F.split("text", "\n")))

@@ -28,13 +28,23 @@ def work_size(native: tuple[int, int], points: tuple[float, float], dpi: int = 1
     return tuple(max(1, min(n, round(p * dpi / 72))) for n, p in zip(native, points))
 
 
+#: The line along which the known overlay lies, as shares of the page, and where the part that counts begins.
+PRIOR_LINE, PRIOR_FROM = (0.50, 0.98, 0.98, 0.52), 0.42
+
+
+def work_side(native: Column, points: Column, dpi: int = 150) -> Column:
+    """The same for a column of sides."""
+    return F.least(native, F.greatest(F.lit(1), F.bround(points * dpi / 72, 0).cast("int")))
+
+
 def diagonal_prior(shape: tuple[int, int]) -> np.ndarray:
-    """The lower right part of the page's diagonal band."""
+    """The lower right part of the band around the known overlay's line."""
     h, w = shape
-    band = R.line_band(shape, 0, h - 1, w - 1, 0, max(10.0, 0.11 * min(h, w)))
-    quadrant = np.zeros(shape, bool)
-    quadrant[h // 2 :, w // 2 :] = True
-    return band & quadrant
+    x0, y0, x1, y1 = (v * s for v, s in zip(PRIOR_LINE, (w, h, w, h)))
+    y, x = np.mgrid[:h, :w]
+    dx, dy = x1 - x0, y1 - y0
+    off = abs(dy * (x - x0) - dx * (y - y0)) / max(1.0, float(np.hypot(dx, dy)))
+    return (x >= PRIOR_FROM * w) & (y >= PRIOR_FROM * h) & (off <= max(10.0, 0.11 * min(h, w)))
 
 
 def probe_page(page: np.ndarray, s: R.Settings = R.Settings(), least: float = 0.001) -> tuple[bool, float]:
@@ -116,21 +126,22 @@ def clean_native(page: np.ndarray, points: tuple[float, float], s: R.Settings =
     small = np.stack([np.rint(K.resize(page[..., c], wh, ww, "area")).astype(np.uint8) for c in range(3)], -1)
     cleaned, meta = R.clean(small, s)
     trusted = K.resize(I.change_mask(small, cleaned), h, w)
-    large = np.stack([np.clip(np.rint(K.resize(cleaned[..., c], h, w, "linear")), 0, 255).astype(np.uint8) for c in range(3)], -1)
+    large = np.stack([np.clip(np.rint(K.resize(cleaned[..., c], h, w, "cubic")), 0, 255).astype(np.uint8) for c in range(3)], -1)
     out = I.assemble(page, large, trusted & ~K.dark_guard(page))
     out, level, score = K.polish_footer(out)
-    return out, meta | {"changed": float((out != page).any(2).mean()), "level": level, "footer_score": score, "residual": residual(page, out, trusted)}
+    return out, meta | {"changed": float((out != page).any(2).mean()), "level": level, "footer_score": score, "residual": residual(page, out, trusted, K.paper(K.gray(page).astype(float)))}
 
 
-def residual(before: np.ndarray, after: np.ndarray, mask: np.ndarray, least: int = 3) -> float:
-    """Remaining over original contrast of the acted pixels of a mask; 1 if nothing was done, 0 without a mask."""
-    a, b = K.gray(before).astype(float), K.gray(after).astype(float)
-    acted = mask & (abs(a - b) >= least)
+def residual(before: np.ndarray, after: np.ndarray, mask: np.ndarray, background: np.ndarray, least: int = 3) -> float:
+    """Remaining over original contrast to the paper (``background``, gray) of the acted pixels of a mask; 1 if nothing was done, 0 without a
+    mask.  A pixel was acted on if a channel changed by ``least``."""
+    step = abs(after.astype(int) - before.astype(int)).reshape(*mask.shape, -1).max(-1)
+    acted = mask & (step >= least)
     if not acted.any():
         return 1.0 if mask.any() else 0.0
-    back = K.gaussian_blur(np.where(mask, np.median(a[~mask]) if (~mask).any() else 255.0, a), 15)
-    was = np.maximum(back - a, 0)[acted].sum()
-    return float(np.clip(np.maximum(back - b, 0)[acted].sum() / was, 0, 1)) if was else 0.0
+    back, a, b = (v.astype(int)[acted] for v in (background, K.gray(before), K.gray(after)))
+    was = np.clip(back - a, 0, 255).sum()
+    return float(np.clip(np.clip(back - b, 0, 255).sum() / was, 0, 1)) if was else 0.0
 
 
 def contrast_mask(page: np.ndarray) -> np.ndarray:

@@ -12,6 +12,10 @@ import numpy as np
 import pandas as pd
 from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from ..sources import tables
+from . import sampling
 
 PAGE = "document string, page_id long, height int, width int, channels int, data binary"
 
@@ -63,19 +67,23 @@ def median_blur(a: np.ndarray, size: int = 5) -> np.ndarray:
 
 
 def gaussian_blur(a: np.ndarray, size: int) -> np.ndarray:
-    """Separable Gaussian with the usual sigma for a kernel of ``size``, edges repeated."""
+    """Separable Gaussian with the usual sigma for a kernel of ``size``; beyond its edges the page is mirrored, the edge itself once."""
     size |= 1
     sigma = 0.3 * ((size - 1) * 0.5 - 1) + 0.8
     x = np.arange(size) - size // 2
     k = np.exp(-(x**2) / (2 * sigma**2))
     k /= k.sum()
-    f = np.pad(a.astype(float), size // 2, mode="edge")
+    f = a.astype(float)
+    for axis in (0, 1):
+        pad = [(0, 0), (0, 0)]
+        pad[axis] = (size // 2, size // 2)
+        f = np.pad(f, pad, mode="reflect" if a.shape[axis] > 1 else "edge")
     f = sliding_window_view(f, size, axis=0) @ k
     return sliding_window_view(f, size, axis=1) @ k
 
 
 def resize(a: np.ndarray, height: int, width: int, how: str = "nearest") -> np.ndarray:
-    """Nearest, area (means of whole source blocks) or linear resize of a 2-D array."""
+    """Nearest, area (means of whole source blocks), linear or cubic resize of a 2-D array."""
     h, w = a.shape
     if how == "nearest":
         return a[np.minimum((np.arange(height) * h / height).astype(int), h - 1)][:, np.minimum((np.arange(width) * w / width).astype(int), w - 1)]
@@ -83,6 +91,8 @@ def resize(a: np.ndarray, height: int, width: int, how: str = "nearest") -> np.n
         ys, xs = np.linspace(0, h, height + 1).astype(int), np.linspace(0, w, width + 1).astype(int)
         sums = np.add.reduceat(np.add.reduceat(a.astype(float), ys[:-1], 0), xs[:-1], 1)
         return sums / np.outer(np.maximum(np.diff(ys), 1), np.maximum(np.diff(xs), 1))
+    if how == "cubic":
+        return _cubic(_cubic(a.astype(float), height).T, width).T
     y, x = np.clip((np.arange(height) + 0.5) * h / height - 0.5, 0, h - 1), np.clip((np.arange(width) + 0.5) * w / width - 0.5, 0, w - 1)
     y0, x0 = np.minimum(y.astype(int), max(h - 2, 0)), np.minimum(x.astype(int), max(w - 2, 0))
     y1, x1 = np.minimum(y0 + 1, h - 1), np.minimum(x0 + 1, w - 1)
@@ -91,6 +101,22 @@ def resize(a: np.ndarray, height: int, width: int, how: str = "nearest") -> np.n
     return (f[y0][:, x0] * (1 - fx) + f[y0][:, x1] * fx) * (1 - fy) + (f[y1][:, x0] * (1 - fx) + f[y1][:, x1] * fx) * fy
 
 
+#: Fixed value: the sharpness of the cubic kernel.
+CUBIC = -0.75
+
+
+def _cubic(a: np.ndarray, size: int) -> np.ndarray:
+    """Cubic convolution (Keys, 1981) along the first axis; edges repeated."""
+    at = (np.arange(size) + 0.5) * len(a) / size - 0.5
+    first = np.floor(at).astype(int) - 1
+    out = np.zeros((size, a.shape[1]))
+    for i in range(4):
+        d = abs(at - (first + i))
+        weight = np.where(d <= 1, ((CUBIC + 2) * d - (CUBIC + 3)) * d * d + 1, ((CUBIC * d - 5 * CUBIC) * d + 8 * CUBIC) * d - 4 * CUBIC)
+        out += weight[:, None] * a[np.clip(first + i, 0, len(a) - 1)]
+    return out
+
+
 def components(mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Labels (0 is background) of 8-connected components, and rows (x, y, width, height, area) by label.
 
@@ -174,35 +200,60 @@ def segment_band(shape: tuple[int, int], x0: float, y0: float, x1: float, y1: fl
     return np.hypot(x - x0 - t * dx, y - y0 - t * dy) <= width
 
 
-def learn(samples: list[np.ndarray], most_mad: float = 5.5, low: float = 125, high: float = 246, contrast: float = 4) -> tuple[np.ndarray, np.ndarray, float]:
-    """Mask, template and confidence of an overlay that several pages share."""
+#: What a pixel of a shared overlay is like, and the kernels over which paper is estimated.
+OVERLAY = {"most_mad": 5.5, "low": 125, "high": 246, "contrast": 4}
+LEARN_SHARE, REPAIR_SHARE, LEAST_KERNEL, MOST_KERNEL, WORK_SIDE = 0.10, 0.08, 15, 81, 900
+
+
+def odd(size: float, share: float) -> int:
+    """An odd kernel size: a share of the page, LEAST_KERNEL at least."""
+    return max(LEAST_KERNEL, int(round(size * share))) | 1
+
+
+def learn(samples: list[np.ndarray], most_mad: float = 5.5, low: float = 125, high: float = 246, contrast: float = 4, where: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, float]:
+    """Mask, template and confidence of an overlay that several pages share; ``where`` limits it to a part of the page.
+
+    The pixels that vary little and are darker than the paper around them, closed and grown by one, are the mask; its share of the
+    page and the variation within it make the confidence.
+    """
     if len(samples) < 2:
         raise ValueError("a model needs two pages")
     shape = samples[0].shape[:2]
     stack = np.stack([g if (g := gray(s)).shape == shape else resize(g, *shape, "area") for s in samples]).astype(np.float32)
     med = np.median(stack, axis=0)
     mad = np.median(abs(stack - med), axis=0)
-    back = gaussian_blur(med, max(15, int(min(shape) * 0.08)) | 1)
+    back = gaussian_blur(med, odd(min(shape), LEARN_SHARE))
     core = (mad <= most_mad) & (med >= low) & (med <= high) & (back - med >= contrast)
-    mask = dilate(close(core))
-    if not core.any():
+    mask = dilate(close(core & where if where is not None else core))
+    if not mask.any():
         return mask, med, 0.0
-    stable = float(np.clip(1 - mad[core].mean() / 12, 0, 1))
-    return mask, med, float(np.clip(0.55 + 0.30 * stable + 0.15 * min(1.0, core.mean() / 0.02), 0, 0.98))
+    stable = float(np.clip(1 - mad[mask].mean() / 12, 0, 1))
+    return mask, med, float(np.clip(0.55 + 0.30 * stable + 0.15 * min(1.0, mask.mean() / 0.02), 0, 0.98))
 
 
 def dark_guard(page: np.ndarray, limit: int = 105) -> np.ndarray:
     return dilate(gray(page) <= limit)
 
 
+def paper(g: np.ndarray) -> np.ndarray:
+    """The local background of a gray page: a wide blur of the page at WORK_SIDE pixels at most, scaled up again."""
+    h, w = g.shape
+    scale = min(1.0, WORK_SIDE / max(h, w))
+    small = g if scale == 1 else resize(g, max(1, round(h * scale)), max(1, round(w * scale)), "area")
+    blurred = gaussian_blur(small, min(MOST_KERNEL, odd(min(small.shape), REPAIR_SHARE)))
+    return blurred if scale == 1 else resize(blurred, h, w, "linear")
+
+
 def repair(page: np.ndarray, mask: np.ndarray, gain: int = 24) -> tuple[np.ndarray, int]:
-    """Lift masked pixels to the local background; guarded content stays byte for byte.  Returns page and changed count."""
-    g = gray(page).astype(int)
+    """Lift masked pixels to the local background, or by ``gain`` at least; dark content and a pixel around it stay byte for byte.
+    Returns the page and the number of changed pixels."""
     act = mask & ~dark_guard(page)
-    size = min(81, max(15, int(min(g.shape) * 0.08))) | 1
-    back = gaussian_blur(np.where(act, np.median(g), g), size)
-    rise = np.where(act, np.clip(np.maximum(back + 4, g + gain), 0, 255) - g, 0).round().astype(int)
-    out = np.clip(page.astype(int) + (rise if page.ndim == 2 else rise[..., None]), 0, 255).astype(np.uint8)
+    if not act.any():
+        return page.copy(), 0
+    g = gray(page).astype(float)
+    rise = np.clip(np.maximum(paper(g)[act] + 4, g[act] + gain), 0, 255) - g[act]
+    out = page.copy()
+    out[act] = np.clip(page[act] + (rise if page.ndim == 2 else rise[:, None]), 0, 255).astype(np.uint8)
     return out, int((out != page).reshape(*g.shape, -1).any(-1).sum())
 
 
@@ -337,16 +388,21 @@ def apply_models(pages: DataFrame, models: DataFrame) -> DataFrame:
 
 
 def learn_models(pages: DataFrame, most_samples: int = 8) -> DataFrame:
-    """document, mask, confidence from at most ``most_samples`` pages of each document (the sampling operator picks them).
+    """document, n_samples, mask, confidence from at most ``most_samples`` evenly spread pages of each document.
 
-    The sample bounds what one task holds, whatever a document's length.
+    Page numbers are worked out first, on ids alone; only the picked pages are shuffled, so a task holds ``most_samples`` pages
+    at most, whatever a document's length.
     """
+    ids = pages.select("document", F.col("page_id").alias("doc_id"))
+    counts = ids.groupBy("document").agg(F.count("*").cast("int").alias("n"))
+    at = counts.select("document", F.explode(sampling.even(F.col("n"), most_samples)).alias("page_index"))
+    picked = tables.numbered(ids).join(at, ["document", "page_index"]).select("document", F.col("doc_id").alias("page_id"))
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         samples = [to_page(r) for r in rows.sort_values("page_id").itertuples()]
         if len(samples) < 2:
-            return pd.DataFrame({"document": [], "mask": [], "confidence": []})
-        mask, _, confidence = learn(samples[:most_samples])
-        return pd.DataFrame({"document": [rows.document.iloc[0]], "mask": [mask.astype(np.uint8).tobytes()], "confidence": [confidence]})
+            return pd.DataFrame({"document": [], "n_samples": [], "mask": [], "confidence": []})
+        mask, _, confidence = learn(samples)
+        return pd.DataFrame({"document": [rows.document.iloc[0]], "n_samples": [len(samples)], "mask": [mask.astype(np.uint8).tobytes()], "confidence": [confidence]})
 
-    return pages.groupBy("document").applyInPandas(run, "document string, mask binary, confidence double")
+    return pages.join(picked, ["document", "page_id"]).groupBy("document").applyInPandas(run, "document string, n_samples long, mask binary, confidence double")

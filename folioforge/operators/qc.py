@@ -41,6 +41,12 @@ def verdict(metrics: DataFrame) -> DataFrame:
     return metrics.withColumn("reasons", F.array_join(reasons, ",")).withColumn("ok", F.col("reasons") == "")
 
 
+def under_mode(verdicts: DataFrame, mode: str) -> DataFrame:
+    """Verdicts as the settings want them: with ``off`` in the column ``mode`` nothing is held against a document."""
+    off = F.col(mode) == "off"
+    return verdicts.withColumns({"ok": off | F.col("ok"), "reasons": F.when(off, "").otherwise(F.col("reasons"))})
+
+
 def page_report(pages: DataFrame, cleaned: DataFrame, least_kept: float = 0.98) -> DataFrame:
     """document, doc_id, chars_before, chars_after, kept_ratio, status of each page; joined on the page."""
     before = pages.select("document", "doc_id", F.length("text").alias("chars_before"))

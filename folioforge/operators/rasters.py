@@ -127,3 +127,11 @@ def native_choice(placements: DataFrame, least: float = 0.95) -> DataFrame:
 def hybrid_choice(changed: Column, coverage: Column, patches: Column, seam: Column) -> Column:
     """Whether a page is replaced as a whole or by patches."""
     return F.when((changed > 0.42) | (coverage > 0.62) | (patches > 120) | seam, "full_raster").otherwise("hybrid")
+
+
+def lowest_group(rows: DataFrame) -> DataFrame:
+    """document, page_id, first_row, last_row of the lowest group of neighbouring rows (document, page_id, y)."""
+    island = F.col("y") - F.row_number().over(W.partitionBy("document", "page_id").orderBy("y"))
+    groups = rows.withColumn("island", island).groupBy("document", "page_id", "island").agg(F.min("y").alias("first_row"), F.max("y").alias("last_row"))
+    lowest = groups.groupBy("document", "page_id").agg(F.max_by(F.struct("first_row", "last_row"), "last_row").alias("g"))
+    return lowest.select("document", "page_id", "g.first_row", "g.last_row")

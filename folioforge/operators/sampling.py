@@ -38,6 +38,10 @@ def staged(count: Column, stages: tuple[int, ...] = (3, 5, 8)) -> list[Column]:
     return out[::-1]
 
 
+#: By stage, the document's and the best candidate's confidence that end the analysis.
+NEEDED = {3: (0.95, 0.95), 5: (0.90, 0.90)}
+
+
 def first_confident(stage_rows, needed: dict[int, tuple[float, float]]):
     """Early stop without a loop: of a document's rows (document, stage, confidence, candidate_confidence, ...) the first
     stage whose two confidences reach ``needed[stage]``, else the last stage."""

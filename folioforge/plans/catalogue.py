@@ -317,10 +317,10 @@ def text_traits(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query()
+@query("SELECT doc_id, sha256(regexp_replace(replace(lower(strip_accents(text)), 'ß', 'ss'), '[^\\p{L}\\p{N}]', '', 'g')) AS fold_sha256 FROM documents")
 def exact_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The exact fold needs Unicode normalisation, which SQL lacks; an Arrow UDF on one column."""
-    return _pages(spark, sf_dir).select("doc_id", F.sha2(T.fold(F.col("text")), 256).alias("fold_sha256"))
+    """The exact fold needs Unicode normalisation; an Arrow UDF on the texts that have more than ASCII."""
+    return _pages(spark, sf_dir).select("doc_id", F.sha2(T.exact_fold(F.col("text")), 256).alias("fold_sha256"))
 
 
 @query("""SELECT page_id, CASE WHEN lower(c) LIKE '%.pdf' THEN c ELSE c || '.pdf' END AS file_name FROM
@@ -455,43 +455,6 @@ def _kernel_query(spark: SparkSession, sf_dir: str, fields: str, measure) -> Dat
     return _masks(spark, sf_dir).repartition(2 * spark.sparkContext.defaultParallelism, "page_id").mapInPandas(run, f"document int, page_id long, {fields}")
 
 
-@query()
-def connected_components(spark: SparkSession, sf_dir: str) -> DataFrame:
-    def measure(page):
-        _, stats = kernels.components(page > 130)
-        return len(stats), int(stats[:, 4].max(initial=0)), int(stats[:, 4].sum())
-
-    return _kernel_query(spark, sf_dir, "n_components int, largest int, area int", measure)
-
-
-@query()
-def rect_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    def measure(page):
-        _, stats = kernels.components(page > 135)
-        boxes = kernels.merge_rects([(int(x), int(y), int(x + w - 1), int(y + h - 1)) for x, y, w, h, _ in stats], gap=1)
-        return len(stats), len(boxes), ";".join(",".join(map(str, b)) for b in boxes)
-
-    return _kernel_query(spark, sf_dir, "n_components int, n_boxes int, boxes string", measure)
-
-
-@query()
-def morphology(spark: SparkSession, sf_dir: str) -> DataFrame:
-    def measure(page):
-        m = page > 130
-        return int(m.sum()), int(kernels.dilate(m).sum()), int(kernels.erode(m).sum()), int(kernels.close(m).sum()), int(kernels.opened(m).sum())
-
-    return _kernel_query(spark, sf_dir, "n_set int, dilated int, eroded int, closed int, opened int", measure)
-
-
-@query()
-def repair_with_model(spark: SparkSession, sf_dir: str) -> DataFrame:
-    def measure(page):
-        out, changed = kernels.repair(page, page > 120)
-        return changed, int(out.astype(int).sum() - page.astype(int).sum())
-
-    return _kernel_query(spark, sf_dir, "changed int, lift int", measure)
-
-
 @query()
 def footer_polish(spark: SparkSession, sf_dir: str) -> DataFrame:
     def measure(page):
@@ -655,3 +618,6 @@ SELECT conv_id, CAST(n_parts AS INT) AS n_parts, sha256(joined) AS joined_sha256
 def page_order_restore(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = routing.ordered_parts(tables.table(spark, sf_dir, "conversations"), "conv_id", "turn", "text")
     return rows.select("conv_id", "n_parts", F.sha2("joined", 256).alias("joined_sha256"), "complete")
+
+
+from . import page_kernels, rules  # noqa: E402, F401  they register their queries here

@@ -130,14 +130,20 @@ def parse_hsv(text: str) -> tuple[int, int, int]:
     return h, s, v
 
 
-def page_megabytes(width: int, height: int) -> float:
-    """Memory that one page's pass needs."""
-    return max(220.0, width * height * 3 / 2**20 * 7.5 + 140)
+#: Inches of a page, copies of it that a pass holds, megabytes besides, megabytes at least, and the least resolution.
+PAGE_INCHES, PAGE_COPIES, PAGE_EXTRA, PAGE_LEAST, LEAST_DPI = (8.5, 11.7), 7.5, 140, 220, 72
+
+
+def page_megabytes(dpi: int) -> int:
+    """Memory that one page's pass needs at a resolution."""
+    dpi = max(LEAST_DPI, int(dpi))
+    return int(max(PAGE_LEAST, PAGE_INCHES[0] * dpi * PAGE_INCHES[1] * dpi * 3 / 2**20 * PAGE_COPIES + PAGE_EXTRA))
 
 
 def worker_count(requested: int, pages: int, cores: int, megabytes: float, page_mb: float, cap: int | None = None) -> int:
     """Tasks to run at once: bounded by request or cores, pages, memory and the environment; one at least."""
-    limits = [requested if requested > 0 else cores - 1, pages, cores, int(megabytes // page_mb)]
+    own = requested if requested > 0 else cores - 1 if cores > 2 else cores
+    limits = [own, max(1, pages), cores, max(1, int(megabytes // page_mb))]
     if cap:
         limits.append(cap)
     return max(1, min(limits))

@@ -27,7 +27,8 @@ def test_clean_native():
     dark = K.gray(page) <= 105
     assert (out[dark] == page[dark]).all() and m["residual"] < 0.5 and m["changed"] > 0
     assert G.page_metrics(page, out)["ok"] and not G.page_metrics(page, np.full_like(page, 255))["ok"] and not G.page_metrics(page, page[:9])["ok"]
-    assert G.residual(page, page, np.ones((400, 300), bool)) == 1.0 and G.residual(page, page, np.zeros((400, 300), bool)) == 0.0
+    paper = K.paper(K.gray(page).astype(float))
+    assert G.residual(page, page, np.ones((400, 300), bool), paper) == 1.0 and G.residual(page, page, np.zeros((400, 300), bool), paper) == 0.0
 
 
 def test_normalise():
