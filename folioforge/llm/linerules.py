@@ -3,6 +3,9 @@
 Each line is judged on its own by punctuation, navigation and boilerplate rules; failing lines are removed; then
 a document is rejected that lost too large a part of its words, or that has too few left.
 
+Navigation is known by its form, in any language: separators between few words, or a short row of capitalised words without a
+sentence's end.  Word lists for English, German, French and Spanish add menus in small letters and the usual notices.
+
 Defined cases: a null text has no line and no word and is rejected; an empty one likewise; repeated rows are
 judged each, in the same way; an empty table gives an empty result; further columns are ignored.
 """
@@ -35,29 +38,29 @@ class Rules:
     least_words: int = 20  # and if fewer words are left
 
 
-#: Phrases of web page furniture, in lower case.
+#: Phrases of web page furniture, in lower case (English, German, French, Spanish).
 BOILERPLATE = (
-    "accept all cookies",
-    "all rights reserved",
-    "click here to",
-    "cookie policy",
-    "enable javascript",
-    "javascript is disabled",
-    "lorem ipsum",
-    "privacy policy",
-    "share on facebook",
-    "sign up for our newsletter",
-    "skip to content",
-    "skip to main content",
-    "subscribe to our newsletter",
-    "terms of service",
-    "terms of use",
-)
-#: Words that make up menus, in lower case.
+    "accept all cookies", "all rights reserved", "click here to", "cookie policy", "enable javascript", "javascript is disabled",
+    "lorem ipsum", "privacy policy", "share on facebook", "sign up for our newsletter", "skip to content", "skip to main content",
+    "subscribe to our newsletter", "terms of service", "terms of use",
+    "alle cookies akzeptieren", "alle rechte vorbehalten", "auf facebook teilen", "datenschutzerklärung", "hier klicken",
+    "javascript aktivieren", "newsletter abonnieren", "nutzungsbedingungen", "wir verwenden cookies", "zum inhalt springen",
+    "abonnez-vous à notre newsletter", "accepter tous les cookies", "activer javascript", "aller au contenu", "cliquez ici",
+    "conditions d'utilisation", "nous utilisons des cookies", "partager sur facebook", "politique de confidentialité", "tous droits réservés",
+    "aceptar todas las cookies", "activar javascript", "compartir en facebook", "condiciones de uso", "haga clic aquí", "haz clic aquí",
+    "ir al contenido", "política de privacidad", "suscríbete a nuestro boletín", "todos los derechos reservados", "utilizamos cookies",
+)
+#: Words that make up menus, in lower case (English, German, French, Spanish).
 NAVIGATION = frozenset(
-    "about account archive back blog cart categories contact faq help home login logout menu next news previous "
-    "register search shop sign sitemap support".split()
+    """
+    about account archive back blog cart categories contact faq help home login logout menu next news previous register search shop sign sitemap support
+    abmelden anmelden archiv hilfe impressum kategorien konto kontakt registrieren startseite suche warenkorb weiter zurück
+    accueil aide boutique catégories compte connexion déconnexion inscription panier précédent recherche suivant
+    anterior ayuda buscar carrito categorías contacto cuenta inicio registrarse siguiente tienda
+    """.split()
 )
+#: Sides of a menu that is known by its form: words, and the share of them that begin with a capital.
+MENU_WORDS, MENU_CAPITALS = range(4, 13), 0.9
 _END = re.compile(rb"[.!?:;\"'\)\]]|\xe2\x80\xa6|\xe3\x80\x82")
 
 
@@ -69,13 +72,15 @@ def line_fault(line: bytes, rules: Rules = Rules()) -> str:
     lower = line.lower().decode("utf-8", "replace")
     if any(phrase in lower for phrase in BOILERPLATE) and len(words) <= 30:
         return "boilerplate"
-    if b"{" in line and b"}" in line and line.rstrip().endswith((b";", b"{", b"}")):
-        return "boilerplate"
     bars = sum(w in (b"|", b">", b"\xc2\xbb", b"\xe2\x80\xa2") for w in words)
     if bars >= rules.navigation_bars and bars * 4 >= len(words):
         return "navigation"
     if len(words) >= 3 and sum(w in NAVIGATION for w in lower.split()) * 5 >= len(words) * 4:
         return "navigation"
+    if len(words) in MENU_WORDS and not _END.search(line) and not any(x in line for x in b",{}=/"):
+        letters = [w for w in line.decode("utf-8", "replace").split() if w[0].isalpha()]
+        if len(letters) >= MENU_WORDS.start and sum(w[0].isupper() for w in letters) >= MENU_CAPITALS * len(letters):
+            return "navigation"
     n = len(words)
     marked = sum(1 for w in words if w.translate(None, _DROP_ALL_BUT_SYMBOLS))
     if marked > rules.symbol_words * n and n >= 3:
