@@ -35,12 +35,14 @@ TEMPLATES: dict[str, tuple[str, ...]] = {
         "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License.",
         "You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0",
         "This project is released under the Apache 2.0 license.",
+        "SPDX-License-Identifier: Apache-2.0",
     ),
     "bsd": (
         "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met",
         "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.",
         "Released under the BSD 3-Clause License.",
         "Licensed under the BSD license.",
+        "SPDX-License-Identifier: BSD-3-Clause",
     ),
     "cc": (
         "Licensed under CC BY-NC 4.0.",
@@ -49,6 +51,12 @@ TEMPLATES: dict[str, tuple[str, ...]] = {
         "This work is licensed under a Creative Commons Attribution 4.0 International License.",
         "This work is licensed under the Creative Commons Attribution-NonCommercial 4.0 International License.",
         "This article is distributed under the terms of the Creative Commons Attribution-ShareAlike license.",
+        "Published under CC-BY 4.0.",
+    ),
+    "epl": (
+        "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0",
+        "Licensed under the Eclipse Public License.",
+        "SPDX-License-Identifier: EPL-2.0",
     ),
     "gpl": (
         "This work is licensed under the GNU General Public License, version 3.",
@@ -56,17 +64,32 @@ TEMPLATES: dict[str, tuple[str, ...]] = {
         "You should have received a copy of the GNU General Public License along with this program.",
         "Released under the GNU Lesser General Public License, version 2.1 or later.",
         "Licensed under the GPL v3.",
+        "Released under GPLv3.",
+        "This program is free software under the terms of the GNU Affero General Public License, version 3.",
+        "SPDX-License-Identifier: GPL-3.0-or-later",
+    ),
+    "isc": (
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
+        "Released under the ISC License.",
+        "SPDX-License-Identifier: ISC",
     ),
     "mit": (
         "Released under the MIT License.",
         "Licensed under the MIT license.",
         "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files",
         "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.",
+        "SPDX-License-Identifier: MIT",
     ),
     "mpl": (
         "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
         "If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/.",
     ),
+    "public": (
+        "This file is in the public domain under CC0.",
+        "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work.",
+        "Released into the public domain.",
+        "Dedicated to the public domain under the CC0 1.0 Universal licence.",
+    ),
     "proprietary": (
         "All rights reserved.",
         "No part of this publication may be reproduced, distributed, or transmitted in any form or by any means without the prior written permission of the publisher.",
@@ -85,10 +108,16 @@ OTHERS = (
     "The university MIT published the work of the general public.",
     "He reserved the right to copy the article at the library.",
     "The foundation distributed copies of the free publication.",
+    "The doctor kept his license to practise under the terms of the board.",
+    "The photograph was released into the public by the author of the work.",
+    "He used the general public library and its domain of free works.",
+    "Any person may use the software for the purpose of this course without a fee.",
+    "The eclipse was seen in public and the materials were made available in the program.",
 )
 UNKNOWN = "unknown"
 FAMILIES = (UNKNOWN, *TEMPLATES)
-NEGATIVES = 2000
+#: Corpus paragraphs among the negatives at most, and the longest of them, so that they fit on the driver.
+NEGATIVES, NEGATIVE_LENGTH = 2000, 2000
 CONFIRM = 0.6
 SCORE = 0.5
 _WORD = re.compile(r"[a-z0-9]+(?:\.[0-9]+)*")
@@ -138,7 +167,7 @@ def train(negatives: list[str], seed: int = 11, copies: int = 30, rounds: int =
             rows += [(tokens(text), k)] + [(_made(rng, text, filler), k) for _ in range(copies)]
     for text in OTHERS:
         rows += [(_made(rng, text, filler), 0) for _ in range(copies)]
-    rows += [(tokens(t)[:60], 0) for t in negatives]
+    rows += [(tokens(t), 0) for t in negatives]
     order = rng.permutation(len(rows))
     fit_rows, own_rows = [rows[i] for i in order if i % 4], [rows[i] for i in order if i % 4 == 0]
     index: dict[str, int] = {}
@@ -238,8 +267,8 @@ def scan(docs: DataFrame, negatives: int = NEGATIVES, id_col: str = "doc_id", te
     """doc_id, licence, score, n_paragraphs, families of every document; a map over the scan."""
     # Lines of about as many documents as lines are wanted; then as many of them.
     few = F.pmod(F.xxhash64(text_col), F.lit(labelled.RANGE)) < int(min(1.0, negatives / max(docs.count(), 1)) * labelled.RANGE)
-    lines = docs.where(few).select(F.explode(F.split(F.col(text_col), "\n")).alias("line")).select(F.substring("line", 1, 400).alias("line"))
-    fair = lines.where(F.length("line") > 0).orderBy(F.xxhash64("line"), "line").limit(negatives)
+    lines = docs.where(few).select(F.explode(F.split(F.col(text_col), "\n")).alias("line"))
+    fair = lines.where(F.length("line").between(1, NEGATIVE_LENGTH)).orderBy(F.xxhash64("line"), "line").limit(negatives)
     model = train(sorted(t for (t,) in fair.collect() if not confirmable(tokens(t))))
     kind = docs.schema[id_col].dataType.simpleString()
 
