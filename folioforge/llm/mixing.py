@@ -57,6 +57,12 @@ def targets(sources: DataFrame, weights: tuple[int, ...], share: float, most: fl
     )
 
 
+def source_targets(docs: DataFrame, weights: tuple[int, ...], share: float, most: int, text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """source, source_size, target of every source."""
+    sizes = docs.groupBy(F.col(source_col).alias("source")).agg(F.sum(word_count(text_col)).cast("double").alias("source_size"))
+    return targets(sizes.withColumn("s", F.coalesce(F.concat(F.lit("s"), F.col("source").cast("string")), F.lit("n"))), weights, share, most).drop("s")
+
+
 def multipliers(cells: DataFrame, goals: DataFrame, most: float) -> DataFrame:
     """The dual's solution: s, scale, lam (null: every rate is at its maximum).  ``cells``: s, size, n.
 

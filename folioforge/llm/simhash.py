@@ -201,3 +201,22 @@ def within(prints: DataFrame, queries: DataFrame, radius: int = 3, bits: int = B
         .select("query_print", "print", "distance")
         .distinct()
     )
+
+
+def neighbours(docs: DataFrame, radius: int = 7, every: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """For each document whose id is divisible by ``every``: doc_id, fingerprint, n_prints (different fingerprints in the radius, its own
+    among them) and n_docs (documents that have one of them).  The search covers all rows; copies are counted, not listed."""
+    kind = docs.schema[id_col].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        printer = Fingerprinter()
+        for batch in batches:
+            prints = [printer(t or "") for t in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(prints, pa.string())], ["id", "fingerprint"])
+
+    rows = written(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {kind}, fingerprint string"), "prints")
+    counts = written(rows.groupBy("fingerprint").agg(F.count("*").alias("n")), "print-counts")
+    asked = rows.where(F.pmod("id", F.lit(every)) == 0)
+    near = within(counts, asked, radius).join(counts.withColumnRenamed("fingerprint", "print"), "print")
+    found = near.groupBy(F.col("query_print").alias("fingerprint")).agg(F.count("*").alias("n_prints"), F.sum("n").alias("n_docs"))
+    return asked.join(found, "fingerprint").select(F.col("id").alias("doc_id"), "fingerprint", "n_prints", "n_docs")

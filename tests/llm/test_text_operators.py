@@ -1,15 +1,18 @@
 """Operators that judge each document on its own."""
 
-import random
 import hashlib
+import math
+import random
 import re
 import zlib
 
+import duckdb
 import numpy as np
 import pyarrow.parquet as pq
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from folioforge.llm import labelled, licences, linerules, packing, quality, queries, sharding, simhash, toxicity
 
@@ -41,6 +44,12 @@ def test_line_rules():
     row = linerules.judge(good + "\nHome | About | Contact | Help")
     assert row["kept"] and row["clean_text"] == good and row["n_removed_lines"] == 1
     assert not linerules.judge("one*** two### three$$$ four%%%\n" * 40)["kept"]
+    for line in ("Alle Rechte vorbehalten", "Wir verwenden Cookies. Alle akzeptieren", "Tous droits réservés 2020", "Todos los derechos reservados"):
+        assert fault(line.encode()) == "boilerplate", line
+    for line in ("Accueil Contact Panier Connexion Recherche", "Inicio Contacto Carrito Buscar Ayuda", "startseite kontakt impressum", "Koti Yhteystiedot Ostoskori Haku"):
+        assert fault(line.encode()) == "navigation", line
+    for line in ("for (i = 0; i < n; i++) { total += i; }", "Der Hund und die Katze schlafen im Haus", "Ein Satz, der ein Komma hat", "Anna Bert"):
+        assert fault(line.encode()) == "", line
 
 
 def test_clean_awkward(spark):
@@ -178,6 +187,67 @@ def test_within(spark):
     assert got == expected
 
 
+def test_neighbours(spark):
+    rows = [(i * 50, " ".join(words(i % 7, 300)[: 300 - i % 3])) for i in range(40)] + [(7000, None), (7001, "")]
+    got = {r.doc_id: (r.fingerprint, r.n_prints, r.n_docs) for r in simhash.neighbours(docs(spark, rows)).collect()}
+    p = simhash.Fingerprinter()
+    prints = {i: p(t or "") for i, t in rows}
+    for i in (i for i in prints if i % 100 == 0):
+        near = [x for x in prints.values() if (int(x, 16) ^ int(prints[i], 16)).bit_count() <= 7]
+        assert got[i] == (prints[i], len(set(near)), len(near))
+    assert len(got) == 21
+
+
+def test_votes():
+    """Against a plain vote, term by term and bit by bit."""
+    import xxhash
+
+    text = "a b a c b a"
+    w = text.encode().split()
+    hashes = {x: xxhash.xxh3_128_intdigest(x).to_bytes(16, "little") for x in w}
+    terms = {x: (h, math.log2(1 + w.count(x))) for x, h in hashes.items()}
+    mask = (1 << 64) - 1
+    for x, y in set(zip(w, w[1:])):
+        h = b""
+        for k in (0, 8):
+            a, b = (int.from_bytes(hashes[z][k : k + 8], "little") for z in (x, y))
+            v = (a * 0x9E3779B97F4A7C15 + b) * 0xD6E8FEB86659FD93 & mask
+            v = (v ^ v >> 32) * 0xD6E8FEB86659FD93 & mask
+            h += (v ^ v >> 29).to_bytes(8, "little")
+        terms[x, y] = (h, 3.0 * math.log2(1 + list(zip(w, w[1:])).count((x, y))))
+    bits = ""
+    for i in range(128):
+        total = sum(weight * (1 if h[i // 8] >> (7 - i % 8) & 1 else -1) for h, weight in terms.values())
+        bits += "1" if total > 0 else "0"
+    assert simhash.Fingerprinter()(text) == f"{int(bits, 2):032x}"
+
+
+@pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
+def test_parts_equal_sql(spark, sf_dir, name):
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{sf_dir}/documents.parquet'")
+    got, expected = queries.queries()[name](spark, sf_dir).toPandas(), con.sql(queries.oracle_sql()[name]).df()
+    assert sorted(got.columns) == sorted(expected.columns)
+    columns = sorted(got.columns)
+    assert sorted(map(tuple, got[columns].values.tolist()), key=str) == sorted(map(tuple, expected[columns].values.tolist()), key=str)
+
+
+def test_clashing_columns(spark):
+    """Further columns, under names that the operators use themselves, change nothing."""
+    rows = [*awkward(), (50, "Released under the MIT License. " + " ".join(words(4, 80)))]
+    plain = docs(spark, rows)
+    names = ("id", "text_crc32", "size", "key", "block", "piece", "length", "shard", "score", "fingerprint", "order", "held_out", "kept", "y", "c1", "__id")
+    more = plain.withColumns({n: F.lit("x") for n in names})
+    empty = spark.createDataFrame([(1, 1, 0), (3, 0, 1)], "doc_id long, quality int, toxic int")
+    runs = {
+        "pack": lambda d: packing.pack(d).select("doc_id", "piece", "ids_crc32"), "clean": linerules.clean, "shard": lambda d: sharding.shard(d, 8), "licences": licences.scan,
+        "quality": lambda d: quality.classify(d, empty), "toxicity": lambda d: toxicity.classify(d, empty), "neighbours": simhash.neighbours,
+    }
+    for name, f in runs.items():
+        one, two = (sorted(map(str, f(d).collect())) for d in (plain, more))
+        assert one == two, name
+
+
 # ---- labels
 @pytest.fixture(scope="module")
 def big():
