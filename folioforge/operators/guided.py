@@ -6,6 +6,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import footer
 from . import inkpages as I
 from . import kernels as K
 from . import ruledpages as R
@@ -128,8 +129,8 @@ def clean_native(page: np.ndarray, points: tuple[float, float], s: R.Settings =
     trusted = K.resize(I.change_mask(small, cleaned), h, w)
     large = np.stack([np.clip(np.rint(K.resize(cleaned[..., c], h, w, "cubic")), 0, 255).astype(np.uint8) for c in range(3)], -1)
     out = I.assemble(page, large, trusted & ~K.dark_guard(page))
-    out, level, score = K.polish_footer(out)
-    return out, meta | {"changed": float((out != page).any(2).mean()), "level": level, "footer_score": score, "residual": residual(page, out, trusted, K.paper(K.gray(page).astype(float)))}
+    out, polished = footer.polish(out)
+    return out, meta | {"changed": float((out != page).any(2).mean()), "level": polished["level"], "footer_score": polished["score"], "protected_change": polished["protected_change"], "residual": residual(page, out, trusted, K.paper(K.gray(page).astype(float)))}
 
 
 def residual(before: np.ndarray, after: np.ndarray, mask: np.ndarray, background: np.ndarray, least: int = 3) -> float:

@@ -66,20 +66,17 @@ def median_blur(a: np.ndarray, size: int = 5) -> np.ndarray:
     return np.median(_windows(a, size, size, "edge"), axis=(2, 3)).astype(a.dtype)
 
 
-def gaussian_blur(a: np.ndarray, size: int) -> np.ndarray:
-    """Separable Gaussian with the usual sigma for a kernel of ``size``; beyond its edges the page is mirrored, the edge itself once."""
-    size |= 1
-    sigma = 0.3 * ((size - 1) * 0.5 - 1) + 0.8
-    x = np.arange(size) - size // 2
-    k = np.exp(-(x**2) / (2 * sigma**2))
-    k /= k.sum()
-    f = a.astype(float)
-    for axis in (0, 1):
+def gaussian_blur(a: np.ndarray, size: int, width: int | None = None) -> np.ndarray:
+    """Separable Gaussian with the usual sigma for a kernel of ``size`` rows and as many, or ``width``, columns; beyond its edges the page is mirrored, the edge itself once."""
+    out = a.astype(float)
+    for axis, n in enumerate((size | 1, (width or size) | 1)):
+        sigma = 0.3 * ((n - 1) * 0.5 - 1) + 0.8
+        x = np.arange(n) - n // 2
+        k = np.exp(-(x**2) / (2 * sigma**2))
         pad = [(0, 0), (0, 0)]
-        pad[axis] = (size // 2, size // 2)
-        f = np.pad(f, pad, mode="reflect" if a.shape[axis] > 1 else "edge")
-    f = sliding_window_view(f, size, axis=0) @ k
-    return sliding_window_view(f, size, axis=1) @ k
+        pad[axis] = (n // 2, n // 2)
+        out = sliding_window_view(np.pad(out, pad, mode="reflect" if a.shape[axis] > 1 else "edge"), n, axis=axis) @ (k / k.sum())
+    return out
 
 
 def resize(a: np.ndarray, height: int, width: int, how: str = "nearest") -> np.ndarray:
@@ -257,40 +254,6 @@ def repair(page: np.ndarray, mask: np.ndarray, gain: int = 24) -> tuple[np.ndarr
     return out, int((out != page).reshape(*g.shape, -1).any(-1).sum())
 
 
-def polish_footer(page: np.ndarray, top: float = 0.945, number_box: tuple[float, float, float, float] = (0.44, 0.94, 0.56, 1.0), limit: float = 0.035) -> tuple[np.ndarray, str, float]:
-    """Whiten faint gray residue in the footer; page number, rules and colour stay.
-
-    The standard pass comes first; if its residual is above ``limit``, the deep pass runs on the original page.
-    """
-    h, w = page.shape[:2]
-    rgb = page if page.ndim == 3 else np.repeat(page[..., None], 3, 2)
-    g = gray(page).astype(int)
-    roi = np.zeros((h, w), bool)
-    roi[int(round(h * top)) :] = True
-    guard = ~roi
-    x0, y0, x1, y1 = (int(round(v * s)) for v, s in zip(number_box, (w, h, w, h)))
-    guard[y0:y1, x0:x1] = True
-    paper = float(np.percentile(g[roi], 95)) if roi.any() else 255.0
-    saturation = rgb.max(2).astype(int) - rgb.min(2)
-    guard |= dilate(saturation > 30) | opened(g < paper - 3, 1, max(35, w // 10)) | (g <= 105)
-
-    def run(contrast: int, grow: int) -> tuple[np.ndarray, float]:
-        found = keep_components(roi & ~guard & (paper - g >= contrast) & (saturation <= 35), least_area=2, most_share=0.5)
-        for _ in range(grow):
-            found = dilate(found)
-        act = found & ~guard
-        out = page.copy()
-        out[act] = np.uint8(min(paper, 255))
-        left = np.where(roi & ~guard, np.maximum(paper - gray(out).astype(int), 0), 0)
-        return out, float(left[left >= 3].sum() / (255.0 * max(1, roi.sum())))
-
-    out, score = run(4, 1)
-    if score <= limit:
-        return out, "standard", score
-    out, score = run(2, 2)
-    return out, "deep", score
-
-
 def whiten_edges(page: np.ndarray, top: int, bottom: int) -> np.ndarray:
     out = page.copy()
     out[:top] = 255
@@ -301,10 +264,12 @@ def whiten_edges(page: np.ndarray, top: int, bottom: int) -> np.ndarray:
 
 def clean_page(page: np.ndarray, mask: np.ndarray, top: int = 0, bottom: int = 0) -> tuple[np.ndarray, dict]:
     """The ordered page pass: edges, overlay, footer.  Returns the page and its metrics."""
+    from . import footer
+
     out = whiten_edges(page, top, bottom)
     out, changed = repair(out, mask)
-    out, level, score = polish_footer(out)
-    return out, {"changed_pixels": changed, "level": level, "footer_score": round(score, 6)}
+    out, polished = footer.polish(out)
+    return out, {"changed_pixels": changed, "level": polished["level"], "footer_score": round(polished["score"], 6)}
 
 
 def ruled_grid(row_means: np.ndarray, least: int = 3, most: int = 60) -> tuple[int, int, float]:
@@ -321,9 +286,15 @@ def ruled_grid(row_means: np.ndarray, least: int = 3, most: int = 60) -> tuple[i
     return best
 
 
+def _footer(page: np.ndarray) -> np.ndarray:
+    from . import footer
+
+    return footer.polish(page)[0]
+
+
 KERNELS: dict[str, Callable[[np.ndarray], np.ndarray]] = {
     "identity": lambda page: page,
-    "footer": lambda page: polish_footer(page)[0],
+    "footer": lambda page: _footer(page),
     "median": lambda page: median_blur(page) if page.ndim == 2 else np.stack([median_blur(page[..., c]) for c in range(page.shape[2])], -1),
 }
 

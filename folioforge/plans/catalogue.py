@@ -455,15 +455,6 @@ def _kernel_query(spark: SparkSession, sf_dir: str, fields: str, measure) -> Dat
     return _masks(spark, sf_dir).repartition(2 * spark.sparkContext.defaultParallelism, "page_id").mapInPandas(run, f"document int, page_id long, {fields}")
 
 
-@query()
-def footer_polish(spark: SparkSession, sf_dir: str) -> DataFrame:
-    def measure(page):
-        out, level, score = kernels.polish_footer(page, top=0.75)
-        return level, round(score, 6), int((out != page).sum())
-
-    return _kernel_query(spark, sf_dir, "level string, score double, changed int", measure)
-
-
 @query()
 def legacy_page_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
     def measure(page):

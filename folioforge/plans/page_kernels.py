@@ -12,7 +12,7 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import guided, inkpages, kernels, ruledpages
+from ..operators import footer, guided, inkpages, kernels, ruledpages
 from ..sources import tables
 from .catalogue import _EVEN, query
 
@@ -315,3 +315,28 @@ def rect_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
         return len(stats), len(boxes), ";".join(",".join(map(str, b)) for b in boxes)
 
     return _kernel_query(spark, sf_dir, "n_components int, n_boxes int, boxes string", measure)
+
+
+_BLOBS = "1 + vec_id % 6 AS blobs, 200 + vec_id % 40 AS level"
+
+
+@query(f"""SELECT vec_id, 'standard' AS level, CAST(blobs * 9 AS INT) AS changed, round(blobs * 9 * (250 - level) / (255.0::DOUBLE * 129 * 17), 6) AS score_before, 0.0::DOUBLE AS score_after, 0.0::DOUBLE AS protected_change
+FROM (SELECT vec_id, {_BLOBS} FROM embeddings)""")
+def planted_footer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A footer with pale blobs, a rule, a coloured badge and a page number: exactly the blobs become paper."""
+
+    def measure(v):
+        import numpy as np
+
+        page = np.empty((400, 300, 3), np.uint8)
+        page[:] = (252, 250, 246)
+        page[382, 24:276] = 70
+        page[388:392, 250:270] = 30
+        page[387:391, 200:204] = (220, 20, 20)
+        page[100:110, 50:200] = 20
+        for i in range(1 + v % 6):
+            page[388:391, 104 + 14 * i : 107 + 14 * i] = 200 + v % 40
+        _, m = footer.polish(page)
+        return m["level"], m["changed"], round(m["score_before"], 6), round(m["score"], 6), m["protected_change"]
+
+    return _planted(spark, sf_dir, "level string, changed int, score_before double, score_after double, protected_change double", measure)

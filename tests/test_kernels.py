@@ -5,6 +5,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from folioforge.operators import footer
 from folioforge.operators import kernels as K
 
 masks = st.integers(0, 2**32 - 1).map(lambda s: np.random.default_rng(s).random((9, 11)) < 0.4)
@@ -77,21 +78,41 @@ def test_model_and_repair():
 
 def test_footer():
     page = np.full((1000, 800, 3), 255, np.uint8)
-    page[970:976, 100:140] = 225
-    page[965:980, 390:400] = 0
+    page[970:976, 300:330] = 225
+    page[965:980, 700:720] = 0
     page[985, 50:750] = 60
-    page[960:965, 600:620] = (255, 0, 0)
-    out, level, score = K.polish_footer(page)
-    assert (out[970:976, 100:140] == 255).all() and level == "standard" and score <= 0.035
+    page[960:965, 500:520] = (255, 0, 0)
+    out, m = footer.polish(page)
+    assert (out[970:976, 300:330] == 255).all() and m["level"] == "standard" and m["score"] <= 0.035 < 1 and m["score_before"] > m["score"]
     keep = np.ones((1000, 800), bool)
-    keep[965:980, 95:145] = False
-    assert (out[keep] == page[keep]).all()
+    keep[965:980, 295:335] = False
+    assert (out[keep] == page[keep]).all() and m["changed"] == 180 and m["protected_change"] == 0
+    clean = np.full((100, 80, 3), 250, np.uint8)
+    assert (footer.polish(clean)[0] == clean).all() and footer.polish(clean[..., 0])[0].shape == (100, 80)
+    hard = footer.Settings(limit=-1.0)
+    assert footer.polish(page, hard)[1]["level"] == "deep"
+    content = np.zeros((1000, 800), bool)
+    content[970:976, 300:330] = True
+    assert (footer.polish(page, content=content)[0] == page).all()
+    with pytest.raises(ValueError):
+        footer.cleaned(page, "none")
+    with pytest.raises(ValueError):
+        footer.polish(page, content=content[1:])
+    harmed = page.copy()
+    harmed[0, 0] = 7
+    assert footer.protected_change(page, harmed, footer.cleaned(page, "standard")[1]) > 0
 
 
 def test_resize_and_blur():
     a = np.arange(24, dtype=float).reshape(4, 6)
     assert (K.resize(a, 2, 3, "area") == a.reshape(2, 2, 3, 2).mean((1, 3))).all()
     assert (K.resize(a, 8, 12) == np.repeat(np.repeat(a, 2, 0), 2, 1)).all()
+    assert np.allclose(K.resize(np.full((3, 3), 7.0), 5, 4, "cubic"), 7) and np.allclose(K.resize(a, 4, 6, "cubic"), a)
+    far = lambda d: -0.75 * d**3 + 3.75 * d**2 - 6 * d + 3
+    near = lambda d: 1.25 * d**3 - 2.25 * d**2 + 1
+    row = np.array([[3.0, 50, 7, 90, 20]])
+    at = 2 * 2 + 1  # the pixel at 2.25: a quarter behind the middle one
+    assert np.isclose(K.resize(row, 1, 10, "cubic")[0, at], far(1.25) * 50 + near(0.25) * 7 + near(0.75) * 90 + far(1.75) * 20)
     assert np.allclose(K.resize(np.full((3, 3), 7.0), 5, 4, "linear"), 7) and np.allclose(K.gaussian_blur(np.full((9, 9), 7.0), 5), 7)
 
 
