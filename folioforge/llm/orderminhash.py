@@ -7,8 +7,9 @@ words finds an edit similarity (one minus distance over the longer length) of at
 
 Candidates are formed without all pairs of a group.  Equal texts are one node from the start.  Then each sketch bucket compares its
 members with one leader, and links are closed transitively.  In buckets that still mix components, the members outside of the
-largest one are compared with the members of other components, whatever the bucket's size.  A pair is left out before its
-alignment only if the lengths, or the parity bitmaps of the words, prove a similarity below 0.8.
+largest one are compared with the members of other components, whatever the bucket's size.  This is done in blocks: the bitmaps of such members
+meet blocks of the others, which leaves each a list of partners; then the texts of blocks of members meet the texts on their lists.  No row
+stands for a pair.  A pair is left out before its alignment only if the lengths, or the parity bitmaps of the words, prove a similarity below 0.8.
 
 Recall: texts with a share J of common k-mers agree in one sketch with probability of about J^2, and in none of 48 with (1 - J^2)^48.
 Changes that are spread evenly leave J = 0.2 at an edit similarity of 0.8 (86 % of pairs are candidates), 0.35 at 0.87 (99.8 %); changes
@@ -41,7 +42,9 @@ WORDS_KEPT = 400_000
 #: decides.
 PARITY_WORDS = 16
 #: Members of a mixed bucket that a task compares with others at a time; larger buckets are dealt into blocks of about this size.
-SMALL_BUCKET = 256
+SMALL_BUCKET = 64
+#: Texts on the lists of a block that one task aligns, about.
+PARTNERS = 1024
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -287,32 +290,125 @@ def _possible(pairs: DataFrame, bits: DataFrame) -> DataFrame:
     return one.join(_sided(bits, "b").withColumnRenamed("nodeb", "b"), "b").where(_near("a", "b")).select("a", "b")
 
 
-def _across(mixed: DataFrame, bits: DataFrame) -> DataFrame:
-    """Pairs (a, b) of a bucket's members in different components, but for those that cannot reach SIMILARITY.
-
-    A bucket is split by length: a text goes to the cell of its length class and to the next one, so texts whose lengths
-    differ by a fifth at most meet.  A cell of m members, of which r are not in its largest component, is dealt into blocks of
-    about SMALL_BUCKET members, and those r meet each block: r x m / SMALL_BUCKET rows and r x m tests, in as many tasks as blocks.
-    """
+def _cells(mixed: DataFrame, bits: DataFrame) -> DataFrame:
+    """Members of mixed buckets, split by length: a text stands in the cell of its length class and in the next one, so texts whose lengths
+    differ by a fifth at most meet.  Cells of one component are dropped; ``big`` is the largest component, ``blocks`` the number of blocks."""
     known = mixed.join(bits, "node").withColumn("class", F.floor(F.log("n") / F.log(F.lit(1 / SIMILARITY)) + 1e-9))
     placed = known.withColumn("cell", F.explode(F.array(F.col("class"), F.col("class") + 1)))
     cell = ["key", "cell"]
     parts = placed.groupBy(*cell, "root").count()
     sizes = written(
         parts.groupBy(*cell).agg(F.max(F.struct("count", "root")).alias("big"), F.sum("count").alias("size"), F.count("*").alias("roots"))
-        .where("roots > 1").select(*cell, F.col("big.root").alias("big"), "size"),
+        .where("roots > 1").select(*cell, F.col("big.root").alias("big"), F.ceil(F.col("size") / SMALL_BUCKET).alias("blocks")),
         "sizes",
     )
-    blocks = F.ceil(F.col("size") / SMALL_BUCKET)
-    open_ = written(placed.join(sizes, cell), "cells")
-    rest = open_.where("root <> big").withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
-    every = open_.withColumn("block", F.pmod(F.xxhash64("node"), blocks))
-    same = [*cell, "block"]
-    columns = [*same, "node", "root", "class", "n", *[f"w{i}" for i in range(PARITY_WORDS)]]
-    pairs = _sided(rest.select(*columns), "a", *same).join(_sided(every.select(*columns, (F.col("root") != F.col("big")).alias("small")), "b", *same), same)
-    once = ~F.col("smallb") | (F.col("nodea") < F.col("nodeb"))
-    meet = (F.col("roota") != F.col("rootb")) & once & (F.greatest("classa", "classb") == F.col("cell")) & _near("a", "b")
-    return pairs.where(meet).select(F.least("nodea", "nodeb").alias("a"), F.greatest("nodea", "nodeb").alias("b"))
+    return written(placed.join(sizes, cell), "cells")
+
+
+def _groups(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[pa.RecordBatch]:
+    """Groups of equal ``names`` (numbers) of sorted rows; only the open group is held between batches."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        values = np.stack([np.array(batch.column(c)) for c in names], 1)
+        cuts = [0, *(np.flatnonzero((values[1:] != values[:-1]).any(1)) + 1).tolist(), len(values)]
+        if held and any(held[-1].column(c)[-1].as_py() != v for c, v in zip(names, values[0].tolist())):
+            yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+            held = []
+        for i, (a, b) in enumerate(zip(cuts, cuts[1:])):
+            held.append(batch.slice(a, b - a))
+            if i < len(cuts) - 2:
+                yield held[0] if len(held) == 1 else pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+                held = []
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+
+
+def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Cells' blocks in; out go the members that came to a block (``own`` false) with the block's members (``own`` true) that they may equal."""
+    for group in _groups(batches, ["key", "cell", "block"]):
+        own = np.array(group.column("own"), bool)
+        come = np.flatnonzero(~own)
+        if not len(come) or len(come) == len(own):
+            continue
+        node = np.array(group.column("node").to_pylist(), object)
+        order = np.array([int.from_bytes(x[:8], "big") for x in node], np.uint64)
+        _, root = np.unique(np.array([x.hex() for x in group.column("root").to_pylist()]), return_inverse=True)
+        level, n = (np.array(group.column(c)) for c in ("class", "n"))
+        small, cell = np.array(group.column("small"), bool), group.column("cell")[0].as_py()
+        bits = np.array(group.column("bits").flatten()).reshape(len(own), -1).view(np.uint64)
+        here = np.flatnonzero(own)
+        out_a, out_b = [], []
+        for i in come.tolist():
+            longer = np.maximum(n[i], n[here])
+            most = np.floor((1 - SIMILARITY) * longer + 1e-9).astype(np.int64)
+            good = (root[here] != root[i]) & (np.maximum(level[i], level[here]) == cell) & (np.minimum(n[i], n[here]) >= longer - most)
+            good &= ~small[here] | (order[i] <= order[here])  # two that both go round meet twice
+            if good.any():
+                at = here[good]
+                differ = np.bitwise_count(bits[i] ^ bits[at]).sum(1).astype(np.int64)
+                at = at[differ <= (n[i] + n[at] - 2 * longer[good] + 2 * most[good])]
+                if len(at):
+                    out_a.append(node[i])
+                    out_b.append(node[at].tolist())
+        if out_a:
+            yield pa.RecordBatch.from_arrays([pa.array(out_a, pa.binary()), pa.array(out_b, pa.list_(pa.binary()))], ["a", "partners"])
+
+
+def _align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Blocks of members with their lists, each followed by the texts on the lists; out go the links."""
+    words, block, asked = Words(), None, []
+    for batch in batches:
+        found_a, found_b = [], []
+        columns = (batch.column(c) for c in ("block", "part", "own", "node", "text", "partners"))
+        for key, part, own, node, text, partners in zip(*columns):
+            if (key, part) != block:
+                block, asked = (key, part), []
+            name = node.as_py()
+            if not own.as_py():
+                asked.append((name, Parsed(text.as_py(), words), set(partners.as_py())))
+                continue
+            parsed = None
+            for a, mine, wanted in asked:
+                if name in wanted:
+                    parsed = parsed or Parsed(text.as_py(), words)
+                    if similar(mine, parsed):
+                        found_a.append(a)
+                        found_b.append(name)
+        yield pa.RecordBatch.from_arrays([pa.array(found_a, pa.binary()), pa.array(found_b, pa.binary())], ["a", "b"])
+
+
+def _across(cells: DataFrame, texts: DataFrame) -> DataFrame:
+    """Links (a, b) between members of a cell in different components.
+
+    Of a cell of m members, r are not in its largest component.  They meet the cell's blocks of SMALL_BUCKET members: r x m / SMALL_BUCKET
+    rows.  Members with lists, in blocks by a bucket that they share, meet the texts on these lists: as many rows as there are texts on the lists of a
+    block, once for all of its members.
+    """
+    some = ["key", "cell", "block"]
+    bits = F.array(*[F.col(f"w{i}") for i in range(PARITY_WORDS)]).alias("bits")
+    small = F.col("root") != F.col("big")
+    every = cells.withColumns({"block": F.pmod(F.xxhash64("node"), F.col("blocks")), "own": F.lit(True), "small": small})
+    come = cells.where(small).withColumns({"own": F.lit(False), "small": F.lit(True)}).withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    columns = [*some, "own", "node", "root", "class", "small", "n", bits]
+    rows = come.select(*columns).unionByName(every.select(*columns))
+    lists = rows.repartition(*some).sortWithinPartitions(*some).mapInArrow(_meet, "a binary, partners array<binary>")
+    lists = written(lists.groupBy("a").agg(F.array_distinct(F.flatten(F.collect_list("partners"))).alias("partners")), "lists")
+
+    # Members whose least common bucket is the same have much the same partners: they make blocks.
+    place = written(cells.where(small).groupBy("node").agg(F.min("key").alias("place")), "places")
+    sizes = written(place.groupBy("place").agg(F.ceil(F.count("*") / SMALL_BUCKET).alias("blocks")), "block-sizes")
+    block = F.xxhash64("place", F.pmod(F.xxhash64("node"), F.col("blocks")))
+    asked = written(place.join(sizes, "place").select(F.col("node").alias("a"), block.alias("block")).join(lists, "a"), "asked")
+    union = asked.groupBy("block").agg(F.array_distinct(F.flatten(F.collect_list("partners"))).alias("partners"))
+    union = written(union.withColumn("parts", F.ceil(F.size("partners") / PARTNERS)), "unions")
+    parts = F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part")
+    left = asked.join(union.select("block", parts), "block").join(texts.withColumnRenamed("node", "a"), "a")
+    right = union.select("block", "parts", F.explode("partners").alias("node")).join(texts, "node")
+    right = right.select("block", F.pmod(F.xxhash64("node"), F.col("parts")).alias("part"), F.lit(True).alias("own"), "node", "text", F.lit(None).cast("array<binary>").alias("partners"))
+    both = left.select("block", "part", F.lit(False).alias("own"), F.col("a").alias("node"), "text", "partners").unionByName(right)
+    return both.repartition("block", "part").sortWithinPartitions("block", "part", "own").mapInArrow(_align, "a binary, b binary")
 
 
 def _rooted(rows: DataFrame, roots: DataFrame) -> DataFrame:
@@ -349,9 +445,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     links = written(_verified(written(_possible(_stars(fresh), bits), "stars"), texts), "verified", sweep=True)
     roots = written(components(links), "roots")
     # What is left: members of buckets with several components.
-    short = members.select("key", "node")
-    pairs = written(_across(_mixed(_rooted(short, roots)), bits).distinct(), "pairs", sweep=True)
-    links = written(links.unionByName(_verified(pairs, texts)), "all_links")
+    cells = _cells(_mixed(_rooted(members.select("key", "node"), roots)), bits)
+    links = written(links.unionByName(_across(cells, texts)), "all_links", sweep=True)
     roots = written(components(links), "roots")
 
     member = written(nodes.select("node", "id").join(roots, "node", "left").select("node", "id", F.coalesce("root", "node").alias("root")), "member")
