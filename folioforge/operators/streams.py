@@ -5,6 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -19,18 +20,27 @@ class Scorer:
     auto_detect: bool = False
 
 
+def features(rows: DataFrame, scorer: Scorer) -> DataFrame:
+    """Add what the score needs to know of a ``line``: length, matched, hits, hit, held, url, upper."""
+    line = F.col("line")
+    hits = F.array_compact(F.array(*[F.when(line.contains(x), F.lit(x)) for x in scorer.protected]))
+    known = rows.withColumns({
+        "length": F.octet_length("line"), "matched": T.matched(line, list(scorer.markers)), "hits": hits, "url": T.any_of(line, T.URL_HINTS), "upper": T.upper_ratio(line),
+    })
+    return known.withColumns({"hit": F.size("matched") > 0, "held": F.size("hits") > 0})
+
+
 def scored(streams: DataFrame, scorer: Scorer) -> DataFrame:
-    """Add length, matched, hits, score, auto, safe to rows with ``line`` and ``repeat_count``.
+    """Add length, matched, hits, score, auto, safe to rows with ``line`` and ``repeat_count``."""
+    return judged(features(streams, scorer), scorer)
+
+
+def judged(rows: DataFrame, scorer: Scorer) -> DataFrame:
+    """Add score, auto, safe to rows with ``repeat_count`` and the features.
 
     Fixed values: the points and limits of the scoring table.
     """
-    line, n = F.col("line"), F.octet_length("line")
-    rep = F.col("repeat_count")
-    url, upper = T.any_of(line, T.URL_HINTS), T.upper_ratio(line)
-    matched = T.matched(line, list(scorer.markers))
-    hits = F.array_compact(F.array(*[F.when(line.contains(x), F.lit(x)) for x in scorer.protected]))
-    rows = streams.withColumns({"length": n, "matched": matched, "hits": hits, "url": url, "upper": upper})
-    hit, held = F.size("matched") > 0, F.size("hits") > 0
+    rep, hit, held = (F.col(c) for c in ("repeat_count", "hit", "held"))
     points = (
         F.when(hit, 65).otherwise(0)
         + F.when(F.col("length") <= 1800, 18).when(F.col("length") <= 5000, 8).when(F.col("length") > 12000, -30).otherwise(0)
@@ -46,33 +56,50 @@ def scored(streams: DataFrame, scorer: Scorer) -> DataFrame:
     return rows.withColumn("safe", marked | (F.col("auto") & (F.col("score") >= 70)))
 
 
-def distinct_streams(lines: DataFrame) -> DataFrame:
-    """document, line, repeat_count, first_doc: each stream of a document once, with all its references counted."""
-    return lines.groupBy("document", "line").agg(F.count("*").alias("repeat_count"), F.min("doc_id").alias("first_doc"))
+def distinct_streams(lines: DataFrame, scorer: Scorer) -> DataFrame:
+    """document, stream (a 128-bit digest), sha1, repeat_count, first_doc and scores: each stream of a document once, with all its references
+    counted.  What the score needs is taken from the lines where they are read, so no line is shuffled, only its digests and features."""
+    narrow = features(lines, scorer).select("document", "doc_id", F.md5("line").alias("stream"), F.sha1("line").alias("sha1"), "length", "hit", "held", "url", "upper")
+    keys = [c for c in narrow.columns if c != "doc_id"]
+    return judged(narrow.groupBy(*keys).agg(F.count("*").alias("repeat_count"), F.min("doc_id").alias("first_doc")), scorer)
 
 
 def candidates(lines: DataFrame, scorer: Scorer, least: int = 35) -> DataFrame:
     """Streams worth showing: safe, or with a score of at least ``least``."""
-    return scored(distinct_streams(lines), scorer).where(F.col("safe") | (F.col("score") >= least))
+    return distinct_streams(lines, scorer).where(F.col("safe") | (F.col("score") >= least))
+
+
+def in_order(rows: DataFrame) -> DataFrame:
+    """Add ``place`` within the document: safe ones first, then by score, page (as text) and digest.
+
+    Rows are numbered within one score of a document; each score begins where the ones before it end.  There are a few dozen
+    scores, so no task holds a document's rows.
+    """
+    block = ["document", "safe", "score"]
+    before = W.partitionBy("document").orderBy(~F.col("safe"), -F.col("score")).rowsBetween(W.unboundedPreceding, -1)
+    starts = rows.groupBy(*block).count().select(*block, F.coalesce(F.sum("count").over(before), F.lit(0)).alias("start"))
+    place = F.row_number().over(W.partitionBy(*block).orderBy("page", "sha1"))
+    return rows.withColumn("place", place).join(starts, block).withColumn("place", (F.col("start") + F.col("place")).cast("int")).drop("start")
 
 
 def remove_safe(pages: DataFrame, lines: DataFrame, scorer: Scorer) -> DataFrame:
     """document, doc_id, text, n_removed: pages without the lines of safe streams.
 
-    Safe streams are few; they are gathered per document (bounded by the scorer: a safe line holds a marker and repeats or not)
-    and filtered out of the line arrays, so the texts are joined once and never exploded and rebuilt.
+    A page's safe streams are found on digests; then the lines of the page are filtered in place, so texts are joined once and
+    never exploded and rebuilt.
     """
-    safe = scored(distinct_streams(lines), scorer).where("safe").select("document", "line")
-    on_page = lines.join(safe, ["document", "line"], "left_semi").groupBy("document", "doc_id").agg(F.collect_set("line").alias("safe_lines"))
+    safe = distinct_streams(lines, scorer).where("safe").select("document", "stream")
+    own = lines.select("document", "doc_id", F.md5("line").alias("stream"))
+    on_page = own.join(safe, ["document", "stream"], "left_semi").groupBy("document", "doc_id").agg(F.collect_set("stream").alias("safe_streams"))
     rows = pages.join(on_page, ["document", "doc_id"], "left")
     split = F.split("text", "\n")
-    left = F.when(F.col("safe_lines").isNull(), split).otherwise(F.filter(split, lambda x: ~F.array_contains("safe_lines", x)))
+    left = F.when(F.col("safe_streams").isNull(), split).otherwise(F.filter(split, lambda x: ~F.array_contains("safe_streams", F.md5(x))))
     return rows.select("document", "doc_id", F.array_join(left, "\n").alias("text"), (F.size(split) - F.size(left)).alias("n_removed"))
 
 
 def removal_summary(lines: DataFrame, scorer: Scorer) -> DataFrame:
     """document, removed_streams, changed_pages, skipped_streams.  A stream on several pages changes its first page."""
-    rows = scored(distinct_streams(lines), scorer)
+    rows = distinct_streams(lines, scorer)
     return rows.groupBy("document").agg(
         F.count(F.when(F.col("safe"), 1)).alias("removed_streams"),
         F.count_distinct(F.when(F.col("safe"), F.col("first_doc"))).alias("changed_pages"),

@@ -6,7 +6,6 @@ import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -169,10 +168,16 @@ def reference_count_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return analysis.reference_counts(_lines(spark, sf_dir)).where("n_references >= 2")
 
 
-@query(f"WITH {_FLAGS} SELECT document, id, count(*) AS n_pages, string_agg(doc_id, ',' ORDER BY doc_id) AS doc_ids FROM fl GROUP BY ALL")
+@query(f"WITH {_FLAGS} SELECT document, id, doc_id FROM fl")
 def signature_page_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pages of each signature, a row each: a document may have any number of them."""
+    return analysis.signature_flags(_pages(spark, sf_dir), REGISTRY).select("document", "id", "doc_id")
+
+
+@query(f"WITH {_FLAGS} SELECT document, id, count(*) AS n_pages, min(doc_id) AS first_page, max(doc_id) AS last_page FROM fl GROUP BY ALL")
+def signature_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     flags = analysis.signature_flags(_pages(spark, sf_dir), REGISTRY)
-    return flags.groupBy("document", "id").agg(F.count("*").alias("n_pages"), F.array_join(F.array_sort(F.collect_list("doc_id")), ",").alias("doc_ids"))
+    return flags.groupBy("document", "id").agg(F.count("*").alias("n_pages"), F.min("doc_id").alias("first_page"), F.max("doc_id").alias("last_page"))
 
 
 @query("SELECT b.item_id, count(*) AS n_documents, min(d.doc_id) AS first_doc FROM documents d JOIN benchmark b ON contains(d.text, b.text) GROUP BY 1")
@@ -253,20 +258,20 @@ def metadata_preflight(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ---- streams -------------------------------------------------------------------------------------------------------
 @query(f"WITH {_scored_sql(SCORER)} SELECT document, sha1(line) AS sha1, repeat_count, length, score, safe FROM sf")
 def stream_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = streams.scored(streams.distinct_streams(_lines(spark, sf_dir)), SCORER)
-    return rows.select("document", F.sha1("line").alias("sha1"), "repeat_count", F.col("length").cast("long").alias("length"), "score", "safe")
+    rows = streams.distinct_streams(_lines(spark, sf_dir), SCORER)
+    return rows.select("document", "sha1", "repeat_count", F.col("length").cast("long").alias("length"), "score", "safe")
 
 
 @query(f"WITH {_scored_sql(SCORER)} SELECT document, sha1(line) AS sha1, repeat_count, first_doc, score FROM sf WHERE safe")
 def stream_safe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = streams.scored(streams.distinct_streams(_lines(spark, sf_dir)), SCORER).where("safe")
-    return rows.select("document", F.sha1("line").alias("sha1"), "repeat_count", "first_doc", "score")
+    rows = streams.distinct_streams(_lines(spark, sf_dir), SCORER).where("safe")
+    return rows.select("document", "sha1", "repeat_count", "first_doc", "score")
 
 
 @query(f"WITH {_scored_sql(AUTO)} SELECT document, sha1(line) AS sha1, repeat_count, length, score, safe FROM sf WHERE auto")
 def auto_detect(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = streams.scored(streams.distinct_streams(_lines(spark, sf_dir)), AUTO).where("auto")
-    return rows.select("document", F.sha1("line").alias("sha1"), "repeat_count", F.col("length").cast("long").alias("length"), "score", "safe")
+    rows = streams.distinct_streams(_lines(spark, sf_dir), AUTO).where("auto")
+    return rows.select("document", "sha1", "repeat_count", F.col("length").cast("long").alias("length"), "score", "safe")
 
 
 @query(f"""WITH {_scored_sql(SCORER)}, nb AS (SELECT document, doc_id, CAST(row_number() OVER (PARTITION BY document ORDER BY doc_id) AS VARCHAR) AS page FROM pg),
@@ -276,10 +281,7 @@ def candidate_rows_sorted(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Candidates in display order.  Pages compare as text, so page 10 comes before page 2."""
     rows = streams.candidates(_lines(spark, sf_dir), SCORER)
     numbers = tables.numbered(_pages(spark, sf_dir)).select("document", F.col("doc_id").alias("first_doc"), (F.col("page_index") + 1).cast("string").alias("page"))
-    order = W.partitionBy("document").orderBy(~F.col("safe"), -F.col("score"), "page", "sha1")
-    return rows.join(numbers, ["document", "first_doc"]).withColumn("sha1", F.sha1("line")).select(
-        "document", F.row_number().over(order).alias("place"), "page", "sha1", "score", "safe"
-    )
+    return streams.in_order(rows.join(numbers, ["document", "first_doc"])).select("document", "place", "page", "sha1", "score", "safe")
 
 
 @query(f"""WITH {_scored_sql(SCORER)}, sl AS (SELECT document, list(line) AS ls FROM sf WHERE safe GROUP BY 1),
@@ -392,10 +394,20 @@ def qc_verdict(spark: SparkSession, sf_dir: str) -> DataFrame:
     return qc.verdict(metrics).select("document", "ok", "reasons")
 
 
-@query(f"""WITH {_scored_sql(SCORER)}, sl AS (SELECT document, list(line) AS ls FROM sf WHERE safe GROUP BY 1),
+_REPORT = f"""WITH {_scored_sql(SCORER)}, sl AS (SELECT document, list(line) AS ls FROM sf WHERE safe GROUP BY 1),
 nt AS (SELECT pg.document, doc_id, length(text) AS b, length(array_to_string(CASE WHEN ls IS NULL THEN string_split(text, chr(10)) ELSE list_filter(string_split(text, chr(10)), lambda x: NOT list_contains(ls, x)) END, chr(10))) AS a FROM pg LEFT JOIN sl ON pg.document = sl.document),
-rp AS (SELECT *, CASE WHEN a / greatest(1, b) < 0.98 THEN 'warned' ELSE 'passed' END AS status FROM nt)
-SELECT document, count(*) AS n_pages, '' AS failed, coalesce(string_agg(doc_id, ',' ORDER BY doc_id) FILTER (status = 'warned'), '') AS warned, true AS ok FROM rp GROUP BY 1""")
+rp AS (SELECT *, CASE WHEN a / greatest(1, b) < 0.98 THEN 'warned' ELSE 'passed' END AS status FROM nt)"""
+
+
+@query(f"""{_REPORT} SELECT document, doc_id, status, round(a / greatest(1, b), 6) AS kept_ratio FROM rp WHERE status <> 'passed'""")
+def qc_flagged_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pages that the summary counts."""
+    pages = _pages(spark, sf_dir)
+    rows = qc.page_report(pages, streams.remove_safe(pages, _lines(spark, sf_dir), SCORER)).where("status <> 'passed'")
+    return rows.select("document", "doc_id", "status", F.round("kept_ratio", 6).alias("kept_ratio"))
+
+
+@query(f"""{_REPORT} SELECT document, count(*) AS n_pages, 0::BIGINT AS n_failed, count(*) FILTER (status = 'warned') AS n_warned, true AS ok FROM rp GROUP BY 1""")
 def qc_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = _pages(spark, sf_dir)
     return qc.summary(qc.page_report(pages, streams.remove_safe(pages, _lines(spark, sf_dir), SCORER)))

@@ -317,7 +317,7 @@ def rect_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _kernel_query(spark, sf_dir, "n_components int, n_boxes int, boxes string", measure)
 
 
-_BLOBS = "1 + vec_id % 6 AS blobs, 200 + vec_id % 40 AS level"
+_BLOBS = "1 + vec_id % 6 AS blobs, 200 + vec_id % 38 AS level"
 
 
 @query(f"""SELECT vec_id, 'standard' AS level, CAST(blobs * 9 AS INT) AS changed, round(blobs * 9 * (250 - level) / (255.0::DOUBLE * 129 * 17), 6) AS score_before, 0.0::DOUBLE AS score_after, 0.0::DOUBLE AS protected_change
@@ -335,7 +335,7 @@ def planted_footer(spark: SparkSession, sf_dir: str) -> DataFrame:
         page[387:391, 200:204] = (220, 20, 20)
         page[100:110, 50:200] = 20
         for i in range(1 + v % 6):
-            page[388:391, 104 + 14 * i : 107 + 14 * i] = 200 + v % 40
+            page[388:391, 104 + 14 * i : 107 + 14 * i] = 200 + v % 38
         _, m = footer.polish(page)
         return m["level"], m["changed"], round(m["score_before"], 6), round(m["score"], 6), m["protected_change"]
 

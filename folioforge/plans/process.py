@@ -100,7 +100,7 @@ def process(
         seconds[stage] = round(time.perf_counter() - began, 3)
         return value
 
-    staged = None
+    staged = final = None
     try:
         profiles = timed("analyzing", lambda: analyze(pages, registry))
         plans = timed("planning", lambda: plan(profiles, preference))
@@ -121,13 +121,14 @@ def process(
 
         final, counts = timed("verifying", verified)
         backup = out.promote(final, name)
+        final = None  # it is published
     except Cancelled:
         raise
     except Exception as e:
         job.emit("failed", str(e)[:200])
         raise
     finally:
-        if staged:
-            out.reject(staged)
+        for left in filter(None, (staged, final)):
+            out.reject(left)
     job.emit("done")
     return {"output": f"{out.folder}/{name}", "backup": backup, "seconds": seconds, "total_seconds": round(sum(seconds.values()), 3), **counts}

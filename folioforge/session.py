@@ -22,6 +22,9 @@ def session(name: str = "folioforge", master: str | None = None, **settings: str
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, else a folder below the warehouse."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``.  Only a local session, whose executors are this machine, may do
+    without; it uses a folder below the warehouse."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder and not spark.conf.get("spark.master", "").startswith("local[") and spark.conf.get("spark.master", "") != "local":
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     return (folder or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_shared").rstrip("/")
