@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..operators import footer, guided, inkpages, kernels, ruledpages
 from ..sources import tables
+from . import process
 from .catalogue import _EVEN, query
 
 # ---- pages with an overlay that they share -------------------------------------------------------------------------
@@ -127,6 +128,18 @@ def _repaired(spark: SparkSession, sf_dir: str, fields: str, measure) -> DataFra
     return pages.join(kernels.learn_models(pages).select("document", "mask"), "document").mapInPandas(run, f"document string, page_id long, {fields}")
 
 
+_PLANS = "CASE CAST(label AS INT) % 3 WHEN 0 THEN 'raster_template' WHEN 1 THEN 'legacy' ELSE 'vector_remove' END"
+
+
+@query(f"""WITH {_REPAIRED}, pn AS (SELECT DISTINCT CAST(label AS VARCHAR) AS document, {_PLANS} AS strategy FROM embeddings)
+SELECT fx.document, page_id, CASE WHEN strategy = 'raster_template' THEN count(*) FILTER (fixed <> gray) ELSE 0 END AS changed, CASE WHEN strategy <> 'raster_template' THEN 'strategy ' || strategy ELSE '' END AS reason FROM fx JOIN pn ON pn.document = fx.document GROUP BY fx.document, page_id, strategy""")
+def raster_strategies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Image documents under their plans: a repair with the document's model, or the page as it was and the reason."""
+    plans = tables.table(spark, sf_dir, "embeddings").select(F.col("label").cast("string").alias("document"), F.expr(_PLANS).alias("strategy")).distinct()
+    done = process.execute_rasters(overlay_pages(spark, sf_dir), plans)
+    return done.select("document", "page_id", "changed", F.coalesce("reason", F.lit("")).alias("reason"))
+
+
 # ---- pages on which something is planted ---------------------------------------------------------------------------
 def _planted(spark: SparkSession, sf_dir: str, fields: str, measure) -> DataFrame:
     """``measure`` of each row's number; it makes a page and works on it."""

@@ -13,7 +13,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import analysis, qc, routing, streams
+from ..operators import analysis, kernels, routing, sampling, streams
 from ..sources import files
 
 STAGES = ("queued", "analyzing", "planning", "processing", "verifying", "done")
@@ -50,8 +50,20 @@ class Job:
         self.emit(stage)
 
 
+def analyze_staged(pages: DataFrame, registry: list[dict], stages: tuple[int, ...] = (3, 5, 8)) -> DataFrame:
+    """Profiles with their best candidates from the smallest nested sample that is sure enough, else from the largest one.
+
+    All samples of all documents are analysed at once, as documents of their own; ``stage`` tells which one counts.  At most
+    ``max(stages)`` pages of a document are read.
+    """
+    samples = analysis.staged_pages(pages, stages)
+    keyed = pages.join(samples, ["document", "doc_id"]).withColumn("document", F.concat("document", F.lit("#"), F.col("stage").cast("string"))).drop("stage")
+    found = analyze(keyed, registry).withColumns({"stage": F.substring_index("document", "#", -1).cast("int"), "document": F.regexp_replace("document", "#[0-9]+$", "")})
+    return sampling.first_confident(found, sampling.NEEDED)
+
+
 def analyze(pages: DataFrame, registry: list[dict]) -> DataFrame:
-    """Profiles with their best candidates."""
+    """Profiles with their best candidates, from all pages."""
     ratios = analysis.ratios(analysis.page_evidence(pages))
     kind, sure = analysis.classify(F.col("text_layer_ratio"), F.col("full_page_image_ratio"))
     best = routing.best_candidate(analysis.candidates(pages, registry))
@@ -76,6 +88,44 @@ def execute(pages: DataFrame, lines: DataFrame, plans: DataFrame, registry: list
     )
 
 
+#: Fixed value: confidence below which a shared overlay is no ground for a repair.
+LEAST_MODEL = 0.55
+
+
+def execute_rasters(pages: DataFrame, plans: DataFrame) -> DataFrame:
+    """document, page_id, data, changed, reason of image pages (``kernels.PAGE``) under their documents' plans (document, strategy).
+
+    ``raster_template`` repairs a page with its document's model.  Where that cannot be done, and for any other strategy, the page falls back to
+    what it was, and ``reason`` says why.
+    """
+    planned = pages.join(plans.select("document", "strategy"), "document")
+    models = kernels.learn_models(planned.where("strategy = 'raster_template'").select(*pages.columns)).select("document", "mask", "confidence")
+    reason = (
+        F.when(F.col("strategy") != "raster_template", F.concat(F.lit("strategy "), F.col("strategy")))
+        .when(F.col("mask").isNull(), "too few samples")
+        .when((F.col("confidence") < LEAST_MODEL), "weak consensus")
+    )
+    rows = planned.join(models, "document", "left").withColumn("reason", reason)
+
+    def run(batches):
+        import numpy as np
+        import pandas as pd
+
+        for batch in batches:
+            out = []
+            for row in batch.itertuples():
+                data, changed = row.data, 0
+                if row.reason is None:
+                    page = kernels.to_page(row)
+                    fixed, changed = kernels.repair(page, np.frombuffer(row.mask, np.uint8).reshape(page.shape[:2]) > 0)
+                    data = np.ascontiguousarray(fixed).tobytes()
+                out.append((row.document, row.page_id, data, changed, row.reason))
+            yield pd.DataFrame(out, columns=["document", "page_id", "data", "changed", "reason"])
+
+    columns = ["document", "page_id", "height", "width", "channels", "data", "reason", F.when(F.col("reason").isNull(), F.col("mask")).alias("mask")]
+    return rows.select(*columns).mapInPandas(run, "document string, page_id long, data binary, changed long, reason string")
+
+
 def check(pages: DataFrame, result: DataFrame, registry: list[dict], least_kept: float = 0.98) -> DataFrame:
     """document, ok: no page lost more than the marked lines it may lose."""
     markers = tuple(a for s in registry for a in s["aliases"])
@@ -102,7 +152,7 @@ def process(
 
     staged = final = None
     try:
-        profiles = timed("analyzing", lambda: analyze(pages, registry))
+        profiles = timed("analyzing", lambda: analyze_staged(pages, registry))
         plans = timed("planning", lambda: plan(profiles, preference))
         staged = timed("processing", lambda: out.stage(execute(pages, lines, plans, registry)))
         result = spark.read.parquet(f"{out.folder}/{staged}")

@@ -6,10 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import analysis, guided, qc, rasters, routing, sampling, settings
+from ..operators import analysis, guided, qc, rasters, sampling, settings
 from ..sources import tables
-from . import config
-from .catalogue import _CAND, _EVEN, _PX, _SYM, MARKERS, REGISTRY, _marker_sql, _pages, _pixels, query
+from . import config, process
+from .catalogue import _EVEN, _PG, _PROFILE, _PX, _SYM, MARKERS, REGISTRY, _marker_sql, _pages, _pixels, query
 
 _text = tables.table
 
@@ -273,3 +273,16 @@ def early_stop(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = analysis.staged_profiles(_pages(spark, sf_dir)).withColumn("candidate_confidence", F.col("full_page_image_ratio") * 60)
     best = sampling.first_confident(rows, sampling.NEEDED)
     return best.select("document", "stage", F.col("page_count").alias("n_pages"), "kind", F.round("confidence", 6).alias("confidence"))
+
+
+_STAGED = "pg AS (SELECT st.document || '#' || stage AS document, doc_id, text FROM st JOIN pi ON pi.document = st.document AND pi.page_index = st.page_index)"
+
+
+@query(f"""WITH {_STAGE_LISTS}, pi AS (SELECT source AS document, doc_id, text, CAST(row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS INT) AS page_index FROM documents),
+{_PROFILE.replace(_PG, _STAGED)}, sg AS (SELECT split_part(rt.document, '#', 1) AS document, CAST(split_part(rt.document, '#', 2) AS INT) AS stage, rt.kind, rt.confidence, rt.marker, sure, page_count FROM rt JOIN pf ON pf.document = rt.document),
+en AS (SELECT *, coalesce((stage = 3 AND confidence >= 0.95 AND sure >= 0.95) OR (stage = 5 AND confidence >= 0.90 AND sure >= 0.90), false) AS enough FROM sg)
+SELECT document, stage, page_count, kind, round(confidence, 6) AS confidence, marker, round(sure, 6) AS candidate_confidence FROM en QUALIFY row_number() OVER (PARTITION BY document ORDER BY NOT enough, CASE WHEN enough THEN stage ELSE -stage END) = 1""")
+def staged_analysis(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The analysis of the document job: profile and best candidate of the first sure sample."""
+    rows = process.analyze_staged(_pages(spark, sf_dir), REGISTRY)
+    return rows.select("document", "stage", "page_count", "kind", F.round("confidence", 6).alias("confidence"), "marker", F.round("candidate_confidence", 6).alias("candidate_confidence"))
