@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .scratch import written
+from .scratch import numbered, written
 
 DEPTH = 100
 Q = 20
@@ -538,6 +538,8 @@ def whole_characters(body: bytes, spans: np.ndarray) -> np.ndarray:
 def remove(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with repeated passages cut out of the texts (whole code points).  Documents that lose all of their text
     are left out; those that were empty stay."""
+    given, docs = docs.columns, numbered(docs)  # no column's name can clash
+    id_col, text_col = (f"c{given.index(c)}" for c in (id_col, text_col))
     names = docs.columns
     hits, others = located(docs, {c: F.col(c) for c in names}, id_col, text_col)
 
@@ -554,4 +556,4 @@ def remove(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     from pyspark.sql.types import StructType
 
     schema = StructType([docs.schema[c] for c in names])
-    return hits.mapInArrow(run, schema).where(F.length(text_col) > 0).unionByName(others)
+    return hits.mapInArrow(run, schema).where(F.length(text_col) > 0).unionByName(others).toDF(*given)
