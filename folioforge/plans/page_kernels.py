@@ -353,3 +353,137 @@ def planted_footer(spark: SparkSession, sf_dir: str) -> DataFrame:
         return m["level"], m["changed"], round(m["score_before"], 6), round(m["score"], 6), m["protected_change"]
 
     return _planted(spark, sf_dir, "level string, changed int, score_before double, score_after double, protected_change double", measure)
+
+
+def _colored(height: int, width: int):
+    return _paper(height, width, 255)
+
+
+@query("SELECT vec_id, CAST(4 * (10 + vec_id % 20) + 3 * (10 + vec_id % 7) AS INT) AS whitened, CAST(5 * (12 + vec_id % 9) AS INT) AS header_guard FROM embeddings")
+def planted_header(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pale blocks in the header and the footer become white, dark ones and those elsewhere stay; header text at the right is guarded."""
+
+    def measure(v):
+        s = ruledpages.Settings()
+        page = _colored(200, 300)
+        page[2:6, 90 : 100 + v % 20] = 180 + v % 60
+        page[192:195, 100 : 110 + v % 7] = 200
+        page[100:110, 100:150] = 200
+        page[7:9, 150:160] = 60
+        out = ruledpages.clean_header_footer(page, s)
+        right = _colored(200, 300)
+        right[2:5, 250 : 260 + v % 9] = 140
+        return int((out != page).any(2).sum()), int(ruledpages.header_right_guard(right, s).sum())
+
+    return _planted(spark, sf_dir, "whitened int, header_guard int", measure)
+
+
+@query("""SELECT vec_id, (30 + vec_id % 20) || ',40,100,' || (50 + vec_id % 10) || ',200,230,255' AS panels, CAST(5 * (30 + vec_id % 9) AS INT) AS given_back, CAST(4 * (20 + vec_id % 8) AS INT) AS recolored,
+CAST(100 * (50 + vec_id % 10) AS INT) AS pale FROM embeddings""")
+def planted_panels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A coloured panel: its box and colour, a hole in it that is filled again, residue on it that takes its colour."""
+
+    def measure(v):
+        s = ruledpages.Settings()
+        page = _colored(200, 200)
+        x, h = 30 + v % 20, 50 + v % 10
+        page[40 : 40 + h, x : x + 100] = (200, 230, 255)
+        _, found = ruledpages.panels(page, s)
+        hurt = page.copy()
+        hurt[50:55, x + 10 : x + 40 + v % 9] = 255
+        back = ruledpages.preserve_panels(page, hurt, s)
+        dirty = page.copy()
+        dirty[60:64, x + 20 : x + 40 + v % 8] = (206, 233, 255)
+        flat = ruledpages.recolor_flat_panels(dirty, s)
+        boxes = ";".join(",".join(map(str, (*b[:4], *b[4]))) for b in found)
+        return boxes, int(((back != hurt).any(2) & (back == page).all(2)).sum()), int(((flat != dirty).any(2) & (flat == page).all(2)).sum()), int(ruledpages.pale_background(page, s).sum())
+
+    return _planted(spark, sf_dir, "panels string, given_back int, recolored int, pale int", measure)
+
+
+@query("""SELECT vec_id, '21,31,' || (60 + vec_id % 10) || ',' || (30 + vec_id % 6) || ',220,240,210' AS cells, CAST(10 * (5 + vec_id % 5) AS INT) AS hurt, 0 AS left_over, 0 AS unprotected FROM embeddings""")
+def planted_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A coloured cell within dark borders: its box and colour; what cleaning took of it comes back; all of it is protected."""
+
+    def measure(v):
+        s = ruledpages.Settings()
+        page = _colored(120, 140)
+        w, h = 60 + v % 10, 30 + v % 6
+        page[30 : 32 + h, 20 : 22 + w] = 80
+        page[31 : 31 + h, 21 : 21 + w] = (220, 240, 210)
+        cells = ruledpages.table_cells(page, s)
+        hurt = page.copy()
+        hurt[35:45, 30 : 35 + v % 5] = 255
+        fixed = ruledpages.clean_tables(page, hurt, s)
+        inside = ruledpages.table_protection(page, s)[30 : 32 + h, 20 : 22 + w]
+        text = ";".join(",".join(map(str, (*c[:4], *c[4]))) for c in cells)
+        return text, int((hurt != page).any(2).sum()), int((fixed != page).any(2).sum()), int((~inside).sum())
+
+    return _planted(spark, sf_dir, "cells string, hurt int, left_over int, unprotected int", measure)
+
+
+@query("""WITH r AS (SELECT vec_id, 8 + vec_id % 6 AS n, 12 + vec_id % 8 AS gap FROM embeddings)
+SELECT vec_id, CAST(n * (200 - gap) AS INT) AS evidence, CAST(n AS INT) AS centers, round(0.52::DOUBLE * (200 - gap) / 200 + 0.33 + 0.15 * least(1.0, n / 12.0::DOUBLE), 6) AS confidence, CAST(n * gap AS INT) AS bridged,
+CAST(n * gap AS INT) AS drawn, 0 AS below_limit FROM r""")
+def planted_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ruled lines with a gap each: the evidence, the confidence in the grid, the gaps that are bridged, and the lines drawn through them."""
+
+    def measure(v):
+        s = ruledpages.Settings()
+        n, gap = 8 + v % 6, 12 + v % 8
+        page = _paper(20 + 18 * n, 200)
+        centers = list(range(10, 10 + 18 * n, 18))
+        page[centers] = 200
+        page[:, 90 : 90 + gap] = 250
+        evidence = ruledpages.rule_evidence(page, s)
+        good = ruledpages.filter_centers(centers, evidence, s)
+        gate = ruledpages.bridge_gate(evidence, good, s)
+        every = gate | True
+        drawn = ruledpages.restore_rules(page, page, good, ruledpages.reconstruction_gate(0.9, gate, every, s), gate & False)
+        low = ruledpages.reconstruction_gate(0.5, gate, every, s)
+        return int(evidence.sum()), len(good), round(ruledpages.grid_confidence(good, evidence), 6), int(gate.sum()), int((drawn != page).any(2).sum()), int(low.sum())
+
+    return _planted(spark, sf_dir, "evidence int, centers int, confidence double, bridged int, drawn int, below_limit int", measure)
+
+
+@query("""SELECT vec_id, CAST((22 + vec_id % 15) * (14 + vec_id % 6) AS INT) AS removed, 384 AS protected, CAST(160 * 160 AS INT) AS graph_box, CAST(4 * (20 + vec_id % 20) + 319 AS INT) AS strokes_back,
+CAST(30 * (1 + vec_id % 4) AS INT) AS text_guard FROM embeddings""")
+def planted_ink(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A neutral block goes, ink stays; a graph's box and strokes are found; strokes are guarded and specks are not."""
+
+    def measure(v):
+        page = _colored(100, 120)
+        page[10:20, 10:40] = 30
+        page[50 : 62 + v % 6, 50 : 70 + v % 15] = 200
+        _, meta = inkpages.clean(page)
+        graph = _colored(200, 200)
+        graph[100, 20:180] = 100
+        graph[20:180, 100] = 100
+        graph[40:44, 40 : 60 + v % 20] = (30, 60, 200)
+        back = ruledpages.restore_graph(graph, _colored(200, 200), ruledpages.Settings())
+        text = _colored(60, 120)
+        for i in range(1 + v % 4):
+            text[10:13, 10 + 20 * i : 20 + 20 * i] = 40
+            text[40, 10 + 20 * i] = 40
+        guard = ruledpages.text_guard(text, ruledpages.Settings())
+        return meta["removed"], meta["protected"], int(inkpages.graph_roi(graph).sum()), int((back != 255).any(2).sum()), int(guard.sum())
+
+    return _planted(spark, sf_dir, "removed int, protected int, graph_box int, strokes_back int, text_guard int", measure)
+
+
+@query("""WITH s AS (SELECT vec_id, CAST(80 AS DOUBLE) AS w, CAST(100 + vec_id % 20 AS DOUBLE) AS h FROM embeddings), p AS (SELECT vec_id, w, h, x, y FROM s, range(80) a(x), range(120) b(y) WHERE y < h),
+t AS (SELECT *, 0.85 * w AS dx, -0.85 * h AS dy, greatest(0.0, least(1.0, ((x - 0.1 * w) * (0.95 - 0.1) * w + (y - 0.95 * h) * (0.1 - 0.95) * h) / (pow((0.95 - 0.1) * w, 2) + pow((0.1 - 0.95) * h, 2)))) AS t FROM p),
+d AS (SELECT vec_id, x, y, sqrt(pow(x - 0.1 * w - t * (0.95 - 0.1) * w, 2) + pow(y - 0.95 * h - t * (0.1 - 0.95) * h, 2)) <= 0.06 * least(w, h) AS inside FROM t)
+SELECT vec_id, CAST(count(*) FILTER (inside) AS INT) AS band, CAST(count(*) FILTER (inside) AS INT) AS swept, CAST(count(*) FILTER (inside) AS INT) AS whitened, CAST(count(*) FILTER (inside) AS INT) AS hurt FROM d GROUP BY 1""")
+def planted_diagonal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A pale diagonal on white paper: the band, the swept pixels, the pixels that became white, and where lines may have been hurt."""
+
+    def measure(v):
+        s = ruledpages.Settings()
+        page = _colored(100 + v % 20, 80)
+        band = ruledpages.band_mask(page.shape[:2], s)
+        page[band] = 210
+        out, swept = ruledpages.clean_diagonal(page, s)
+        return int(band.sum()), int(swept.sum()), int(((out == 255).all(2) & (page != 255).any(2)).sum()), int(ruledpages.damage_gate(swept, band).sum())
+
+    return _planted(spark, sf_dir, "band int, swept int, whitened int, hurt int", measure)
