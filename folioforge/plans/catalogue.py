@@ -467,24 +467,6 @@ def _kernel_query(spark: SparkSession, sf_dir: str, fields: str, measure) -> Dat
     return _masks(spark, sf_dir).repartition(2 * spark.sparkContext.defaultParallelism, "page_id").mapInPandas(run, f"document int, page_id long, {fields}")
 
 
-@query()
-def legacy_page_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
-    def measure(page):
-        out, m = kernels.clean_page(page, page > 125, top=1, bottom=0)
-        return m["changed_pixels"], m["level"], m["footer_score"], int(out.astype(int).sum())
-
-    return _kernel_query(spark, sf_dir, "changed int, level string, footer_score double, total int", measure)
-
-
-@query()
-def ruled_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    def measure(page):
-        spacing, phase, score = kernels.ruled_grid(page.mean(1), least=2, most=4)
-        return spacing, phase, round(score, 6)
-
-    return _kernel_query(spark, sf_dir, "spacing int, phase int, score double", measure)
-
-
 def _large(page):
     """An 8x8 raster as an RGB page of 96x96 pixels."""
     import numpy as np

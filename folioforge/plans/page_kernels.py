@@ -42,10 +42,10 @@ def _mirror(i: str, n: int) -> str:
     return f"CASE WHEN {i} < 0 THEN -({i}) WHEN {i} >= {n} THEN {2 * (n - 1)} - ({i}) ELSE {i} END"
 
 
-def _blur(source: str, value: str, key: str, out: str) -> str:
+def _blur(source: str, value: str, key: str, out: str, height: int = HEIGHT, width: int = WIDTH) -> str:
     """A Gaussian of 15 pixels over a table of pixels, columns first."""
-    return f"""{out}_v AS (SELECT a.{key}, a.x, a.y, sum(w.g * b.{value}) AS b FROM {source} a CROSS JOIN wt w JOIN {source} b ON b.{key} = a.{key} AND b.x = a.x AND b.y = {_mirror("a.y + w.o", HEIGHT)} GROUP BY ALL),
-{out} AS (SELECT a.{key}, a.x, a.y, sum(w.g * b.b) AS back FROM {out}_v a CROSS JOIN wt w JOIN {out}_v b ON b.{key} = a.{key} AND b.y = a.y AND b.x = {_mirror("a.x + w.o", WIDTH)} GROUP BY ALL)"""
+    return f"""{out}_v AS (SELECT a.{key}, a.x, a.y, sum(w.g * b.{value}) AS b FROM {source} a CROSS JOIN wt w JOIN {source} b ON b.{key} = a.{key} AND b.x = a.x AND b.y = {_mirror("a.y + w.o", height)} GROUP BY ALL),
+{out} AS (SELECT a.{key}, a.x, a.y, sum(w.g * b.b) AS back FROM {out}_v a CROSS JOIN wt w JOIN {out}_v b ON b.{key} = a.{key} AND b.y = a.y AND b.x = {_mirror("a.x + w.o", width)} GROUP BY ALL)"""
 
 
 def _spread(source: str, key: str, out: str, how: str) -> str:
@@ -487,3 +487,40 @@ def planted_diagonal(spark: SparkSession, sf_dir: str) -> DataFrame:
         return int(band.sum()), int(swept.sum()), int(((out == 255).all(2) & (page != 255).any(2)).sum()), int(ruledpages.damage_gate(swept, band).sum())
 
     return _planted(spark, sf_dir, "band int, swept int, whitened int, hurt int", measure)
+
+
+# ---- kernels on the corpus's own 8x8 rasters
+_SMALL = """px8 AS (SELECT label AS document, vec_id AS page_id, (i - 1) % 8 AS x, (i - 1) // 8 AS y, greatest(0, least(255, CAST(round_even((CAST(embedding[i] AS DOUBLE) + 1) * 127.5, 0) AS INT))) AS gray FROM embeddings, range(1, 65) t(i))"""
+
+
+@query(f"""WITH {_SMALL}, {_WEIGHTS}, {_NEAR}, w8 AS (SELECT document, page_id, x, y, gray > 125 AS marked, CASE WHEN y = 0 THEN 255 ELSE gray END AS gray FROM px8),
+dk AS (SELECT page_id, x, y, gray <= 105 AS s FROM w8), {_spread("dk", "page_id", "gd", "bool_or")}, {_blur("w8", "gray", "page_id", "pb", 8, 8)},
+f AS (SELECT document, w8.page_id, gray, CASE WHEN marked AND NOT gd.s THEN CAST(floor(greatest(0, least(255, greatest(back + 4, gray + 24)))) AS INT) ELSE gray END AS fixed
+ FROM w8 JOIN gd USING (page_id, x, y) JOIN pb USING (page_id, x, y))
+SELECT document, page_id, CAST(count(*) FILTER (fixed <> gray) AS INT) AS changed, 'standard' AS level, 0.0::DOUBLE AS footer_score, CAST(sum(fixed) AS INT) AS total FROM f GROUP BY ALL""")
+def legacy_page_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ordered page pass: white edge, repair under a mask, footer (of which so small a page has none)."""
+    from .catalogue import _kernel_query
+
+    def measure(page):
+        out, m = kernels.clean_page(page, page > 125, top=1, bottom=0)
+        return m["changed_pixels"], m["level"], m["footer_score"], int(out.astype(int).sum())
+
+    return _kernel_query(spark, sf_dir, "changed int, level string, footer_score double, total int", measure)
+
+
+@query(f"""WITH {_SMALL}, rm AS (SELECT document, page_id, y, avg(gray) AS mean FROM px8 GROUP BY ALL), bs AS (SELECT *, median(mean) OVER (PARTITION BY page_id) AS base FROM rm),
+s AS (SELECT document, page_id, y, greatest(base - mean, 0) AS score FROM bs), t AS (SELECT page_id, avg(score) AS m, sum(score) AS total FROM s GROUP BY 1),
+c AS (SELECT document, page_id, sp, ph, avg(score) AS m_on, sum(score) AS on_them, count(*) AS k FROM s, range(2, 5) a(sp), range(0, 4) b(ph) WHERE ph < sp AND y % sp = ph GROUP BY ALL),
+v AS (SELECT document, page_id, sp, ph, (m_on - m) * least(1.0, k / 4.0) * on_them / greatest(total, 1e-9) AS value FROM c JOIN t USING (page_id)),
+r AS (SELECT * FROM v QUALIFY row_number() OVER (PARTITION BY page_id ORDER BY round(value, 9) DESC, sp, ph) = 1)
+SELECT document, page_id, CAST(CASE WHEN value > 1e-12 THEN sp ELSE 0 END AS INT) AS spacing, CAST(CASE WHEN value > 1e-12 THEN ph ELSE 0 END AS INT) AS phase, round(greatest(value, 0) + 1e-9, 6) AS score FROM r""")
+def ruled_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spacing and phase of the regular dark rows that explain a page best."""
+    from .catalogue import _kernel_query
+
+    def measure(page):
+        spacing, phase, score = kernels.ruled_grid(page.mean(1), least=2, most=4)
+        return spacing, phase, round(score + 1e-9, 6)  # no score lies between two roundings
+
+    return _kernel_query(spark, sf_dir, "spacing int, phase int, score double", measure)
