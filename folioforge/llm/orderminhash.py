@@ -41,8 +41,10 @@ WORDS_KEPT = 400_000
 #: 64-bit words of the parity bitmaps that rule pairs out.  In texts far longer than its 1024 bits they rule out less, and the alignment
 #: decides.
 PARITY_WORDS = 16
-#: Members of a mixed bucket that a task compares with others at a time; larger buckets are dealt into blocks of about this size.
-SMALL_BUCKET = 64
+#: Members of a mixed bucket whose bitmaps meet at a time; larger buckets are dealt into blocks of about this size.
+SMALL_BUCKET = 1024
+#: Members whose texts are held while the texts on their lists pass by.
+TOGETHER = 64
 #: Texts on the lists of a block that one task aligns, about.
 PARTNERS = 1024
 
@@ -383,7 +385,7 @@ def _across(cells: DataFrame, texts: DataFrame) -> DataFrame:
     """Links (a, b) between members of a cell in different components.
 
     Of a cell of m members, r are not in its largest component.  They meet the cell's blocks of SMALL_BUCKET members: r x m / SMALL_BUCKET
-    rows.  Members with lists, in blocks by a bucket that they share, meet the texts on these lists: as many rows as there are texts on the lists of a
+    rows of bitmaps.  Members with lists, in blocks by a bucket that they share, meet the texts on these lists: as many rows as there are texts on the lists of a
     block, once for all of its members.
     """
     some = ["key", "cell", "block"]
@@ -398,7 +400,7 @@ def _across(cells: DataFrame, texts: DataFrame) -> DataFrame:
 
     # Members whose least common bucket is the same have much the same partners: they make blocks.
     place = written(cells.where(small).groupBy("node").agg(F.min("key").alias("place")), "places")
-    sizes = written(place.groupBy("place").agg(F.ceil(F.count("*") / SMALL_BUCKET).alias("blocks")), "block-sizes")
+    sizes = written(place.groupBy("place").agg(F.ceil(F.count("*") / TOGETHER).alias("blocks")), "block-sizes")
     block = F.xxhash64("place", F.pmod(F.xxhash64("node"), F.col("blocks")))
     asked = written(place.join(sizes, "place").select(F.col("node").alias("a"), block.alias("block")).join(lists, "a"), "asked")
     union = asked.groupBy("block").agg(F.array_distinct(F.flatten(F.collect_list("partners"))).alias("partners"))

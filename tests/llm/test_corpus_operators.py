@@ -162,7 +162,7 @@ def _near_rows():
     return rows
 
 
-@pytest.mark.parametrize("small", [64, 2])
+@pytest.mark.parametrize("small", [1024, 2])
 def test_near_duplicates(spark, monkeypatch, small):
     monkeypatch.setattr(orderminhash, "SMALL_BUCKET", small)
     rows = _near_rows()
@@ -180,7 +180,7 @@ def _pairs_on_a_core(seed, n, pairs):
     return rows
 
 
-@pytest.mark.parametrize("n, pairs, small", [(300, 40, 2), (50, 100, 64), (120, 160, 64)])
+@pytest.mark.parametrize("n, pairs, small", [(300, 40, 2), (50, 100, 1024), (120, 160, 64)])
 def test_mixed_buckets(spark, monkeypatch, n, pairs, small):
     """Pairs that stand in mixed buckets of 80 to 320 members, below and above SMALL_BUCKET."""
     monkeypatch.setattr(orderminhash, "SMALL_BUCKET", small)
