@@ -180,7 +180,7 @@ def _pairs_on_a_core(seed, n, pairs):
     return rows
 
 
-@pytest.mark.parametrize("n, pairs, small", [(300, 40, 2), (50, 100, 1024), (120, 160, 64)])
+@pytest.mark.parametrize("n, pairs, small", [(300, 40, 2), (120, 160, 64)])
 def test_mixed_buckets(spark, monkeypatch, n, pairs, small):
     """Pairs that stand in mixed buckets of 80 to 320 members, below and above SMALL_BUCKET."""
     monkeypatch.setattr(orderminhash, "SMALL_BUCKET", small)
@@ -222,8 +222,6 @@ def test_near_awkward(spark):
     assert got[5].class_id == got[6].class_id == got[15].class_id == 5 and got[7].class_id == 7 and got[8].class_id == got[9].class_id == 8
     assert got[3].n_texts == 3 and sum(r.keep for r in found if r.class_id == 1) == 1
     kept = orderminhash.deduplicate(docs(spark, rows))
-    clash = orderminhash.deduplicate(docs(spark, rows).withColumns({"node": F.lit(1), "__id": F.lit(2), "c0": F.lit(3)}))
-    assert clash.columns == [*kept.columns, "node", "__id", "c0"] and clash.count() == kept.count()
     assert sorted(r.doc_id for r in kept.where("doc_id is not null").collect()) == [-5, 1, 5, 7, 8, 10, 12, 13, 14] and kept.where("doc_id is null").count() == 2
     assert kept.columns == docs(spark, []).columns and orderminhash.near_duplicates(docs(spark, [])).count() == 0
 
