@@ -524,3 +524,29 @@ def ruled_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
         return spacing, phase, round(score + 1e-9, 6)  # no score lies between two roundings
 
     return _kernel_query(spark, sf_dir, "spacing int, phase int, score double", measure)
+
+
+@query("""WITH r AS (SELECT vec_id, 10 + vec_id % 10 AS w, vec_id % 5 AS k, 1 + vec_id % 20 AS m, 100 + vec_id % 40 AS width FROM embeddings)
+SELECT vec_id, round(k / w::DOUBLE, 6) AS dark_loss, round(k * 20 * 160 / 8000.0::DOUBLE, 6) AS mean_change, CAST(least(8, m) AS INT) AS n_samples, 50 AS sample_height, CAST(floor(width * 0.25::DOUBLE) AS INT) AS sample_width,
+CAST(w + 4 AS INT) AS patch_width, 24 AS patch_height, 6 AS patch_kind FROM r""")
+def planted_losses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Content lost between two pages, the sample of a document's native images at working size, and a patch as PNG."""
+
+    def measure(v):
+        import struct
+
+        before = _paper(80, 100)
+        w, k = 10 + v % 10, v % 5
+        before[30:50, 20 : 20 + w] = 40
+        after = before.copy()
+        after[30:50, 20 : 20 + k] = 200
+        m = guided.page_metrics(before, after)
+        picked = guided.sample_native([_paper(200, 100 + v % 40)] * (1 + v % 20), 8, 50)
+        box = (18, 28, 22 + w, 52)
+        mask = inkpages.change_mask(before, after)
+        head = struct.unpack(">IIBB", inkpages.patch_png(after, mask, box)[16:26])
+        return round(m["dark_loss"], 6), round(m["mean_change"], 6), len(picked), *picked[0].shape, head[0], head[1], head[3]
+
+    return _planted(
+        spark, sf_dir, "dark_loss double, mean_change double, n_samples int, sample_height int, sample_width int, patch_width int, patch_height int, patch_kind int", measure
+    )
