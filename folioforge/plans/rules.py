@@ -176,8 +176,9 @@ def native_image_choice(spark: SparkSession, sf_dir: str) -> DataFrame:
         tables.host("url").alias("document"), "page_id", F.octet_length("html").alias("area"), F.explode(F.regexp_extract_all("html", F.lit("(?s)<article>.*?</article>"), F.lit(0))).alias("f")
     )
     box = {c: F.lit(0) for c in ("x0", "y0", "x1", "y1")}
-    placed = rows.withColumns({"image": F.sha2("f", 256), "coverage": F.least(F.lit(1.0), F.octet_length("f") * F.lit(1.4) / F.col("area")), **box})
-    return rasters.native_choice(placed).select("document", "page_id", "image", F.round("coverage", 6).alias("coverage"))
+    placed = rows.withColumns({"image": F.sha2("f", 256), "coverage": F.least(F.lit(1.0), F.octet_length("f") * F.lit(14.0) / 10 / F.col("area")), **box})
+    # The share is that of the exact decimal 1.4, as a page may stand exactly on the limit; ties of the rounding are those of the scaled value.
+    return rasters.native_choice(placed).select("document", "page_id", "image", (F.round(F.col("coverage") * 1e6) / 1e6).alias("coverage"))
 
 
 @query("""WITH p AS (SELECT regexp_extract(url, 'https?://([^/]+)', 1) AS document, page_id, CASE WHEN page_id % 37 = 0 THEN 90 ELSE 0 END AS rotation, len(regexp_extract_all(html, '<div class="ad">')) AS notes,

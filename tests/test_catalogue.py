@@ -45,6 +45,18 @@ def test_short_benchmark_items(spark, tmp_path):
     assert len(got) == 3 and _norm(got) == _norm(con.sql(catalogue.ORACLE_SQL["benchmark_passages"]).df())
 
 
+def test_native_image_on_the_limit(spark, tmp_path):
+    def html(article, area):
+        return "<article>" + "x" * (article - 19) + "</article>" + "y" * (area - article)
+
+    pages = [(i, "https://a.org/x", html(*sizes)) for i, sizes in enumerate([(1425, 2100), (1424, 2100), (2193, 3200), (1500, 2100), (57, 84)])]
+    spark.createDataFrame(pages, "page_id long, url string, html string").coalesce(1).write.parquet(f"{tmp_path}/pages.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/pages.parquet/*.parquet'")
+    got = sorted(map(tuple, catalogue.QUERIES["native_image_choice"](spark, str(tmp_path)).collect()))
+    assert [r[1] for r in got] == [0, 2, 3, 4] and got == sorted(con.execute(catalogue.ORACLE_SQL["native_image_choice"]).fetchall())
+
+
 def test_entry(spark):
     import __spark_entry__ as entry
 
