@@ -133,3 +133,22 @@ def test_job(spark, tmp_path):
     with pytest.raises(process.Cancelled):
         process.process(spark, pages, tables.lines(pages), f"file://{tmp_path}", "x", job=process.Job(should_cancel=lambda: True))
     assert files.load_signatures()[0]["id"] == "apache"
+
+
+def test_measures_once(monkeypatch):
+    """The pass works each measure of a page out once: three states of the page have content, whatever the number of steps."""
+    page, _ = ruled()
+    calls = {}
+    for name in ("gray", "gaussian_blur", "components"):
+
+        def counted(*args, f=getattr(K, name), name=name):
+            calls[name] = calls.get(name, 0) + 1
+            return f(*args)
+
+        monkeypatch.setattr(K, name, counted)
+    before = page.copy()
+    R.clean(page)
+    assert (page == before).all() and calls["gray"] <= 6 and calls.get("gaussian_blur", 0) <= 3 and calls["components"] <= 12
+    facts = R.Facts(page)
+    assert R.protect_mask(facts, R.Settings()) is R.protect_mask(facts, R.Settings())
+    assert (R.protect_mask(facts, R.Settings(dark=30)) == R.protect_mask(page, R.Settings(dark=30))).all()
