@@ -125,6 +125,25 @@ def test_grid():
     assert K.ruled_grid(means, 5, 20)[:2] == (12, 4)
 
 
+def test_grid_in_one_go():
+    """All grids are summed at once, with the choice of a loop over them."""
+    from unittest import mock
+
+    rng = np.random.default_rng(5)
+    for n in (1, 9, 14, 40, 97):
+        means = rng.integers(0, 60, n) / 2.0
+        base = np.array([np.median(means[max(0, i - 7) : i + 8]) for i in range(n)])
+        score, best = np.maximum(base - means, 0), (0, 0, 0.0)
+        for spacing in range(3, min(60, n // 2) + 1):
+            for phase in range(spacing):
+                on = score[phase::spacing]
+                value = float(on.mean() - score.mean()) * min(1.0, len(on) / 4) * float(on.sum() / max(score.sum(), 1e-9))
+                if value > best[2] + 1e-12:
+                    best = (spacing, phase, value)
+        with mock.patch.object(K.np, "bincount", wraps=np.bincount) as summed:
+            assert K.ruled_grid(means) == best and summed.call_count == (n // 2 >= 3)
+
+
 def test_process(spark):
     pages, _ = _pages(2)
     rows = spark.createDataFrame(K.to_rows([("d", i, p) for i, p in enumerate(pages)]), K.PAGE)
