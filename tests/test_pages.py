@@ -152,3 +152,19 @@ def test_measures_once(monkeypatch):
     facts = R.Facts(page)
     assert R.protect_mask(facts, R.Settings()) is R.protect_mask(facts, R.Settings())
     assert (R.protect_mask(facts, R.Settings(dark=30)) == R.protect_mask(page, R.Settings(dark=30))).all()
+
+
+def _planted_measure(monkeypatch, name):
+    from folioforge.plans import catalogue, page_kernels
+
+    with monkeypatch.context() as m:
+        m.setattr(page_kernels, "_planted", lambda spark, sf_dir, fields, measure: measure)
+        return catalogue.QUERIES[name](None, None)
+
+
+@pytest.mark.parametrize("name, most", [("planted_panels", 4)])
+def test_planted_pages_are_measured_once(monkeypatch, name, most):
+    measure, calls = _planted_measure(monkeypatch, name), []
+    monkeypatch.setattr(K, "components", lambda mask, f=K.components: calls.append(1) or f(mask))
+    measure(7)
+    assert len(calls) <= most
