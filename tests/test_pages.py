@@ -162,7 +162,7 @@ def _planted_measure(monkeypatch, name):
         return catalogue.QUERIES[name](None, None)
 
 
-@pytest.mark.parametrize("name, most", [("planted_panels", 4)])
+@pytest.mark.parametrize("name, most", [("planted_panels", 4), ("planted_table", 3)])
 def test_planted_pages_are_measured_once(monkeypatch, name, most):
     measure, calls = _planted_measure(monkeypatch, name), []
     monkeypatch.setattr(K, "components", lambda mask, f=K.components: calls.append(1) or f(mask))
