@@ -124,20 +124,19 @@ def clean_native(page: np.ndarray, points: tuple[float, float], s: R.Settings =
     page = normalise(page)
     h, w = page.shape[:2]
     wh, ww = work_size((h, w), points, dpi)
-    small = np.stack([np.rint(K.resize(page[..., c], wh, ww, "area")).astype(np.uint8) for c in range(3)], -1)
+    small = np.rint(K.resize(page, wh, ww, "area")).astype(np.uint8)
     cleaned, meta = R.clean(small, s)
     trusted = K.resize(I.change_mask(small, cleaned), h, w)
-    large = np.stack([np.clip(np.rint(K.resize(cleaned[..., c], h, w, "cubic")), 0, 255).astype(np.uint8) for c in range(3)], -1)
+    large = np.clip(np.rint(K.resize(cleaned, h, w, "cubic")), 0, 255).astype(np.uint8)
     out = I.assemble(page, large, trusted & ~K.dark_guard(page))
     out, polished = footer.polish(out)
-    return out, meta | {"changed": float((out != page).any(2).mean()), "level": polished["level"], "footer_score": polished["score"], "protected_change": polished["protected_change"], "residual": residual(page, out, trusted, K.paper(K.gray(page).astype(float)))}
+    return out, meta | {"changed": float(K.differs(out, page).mean()), "level": polished["level"], "footer_score": polished["score"], "protected_change": polished["protected_change"], "residual": residual(page, out, trusted, K.paper(K.gray(page).astype(float)))}
 
 
 def residual(before: np.ndarray, after: np.ndarray, mask: np.ndarray, background: np.ndarray, least: int = 3) -> float:
     """Remaining over original contrast to the paper (``background``, gray) of the acted pixels of a mask; 1 if nothing was done, 0 without a
     mask.  A pixel was acted on if a channel changed by ``least``."""
-    step = abs(after.astype(int) - before.astype(int)).reshape(*mask.shape, -1).max(-1)
-    acted = mask & (step >= least)
+    acted = mask & K.differs(before, after, least - 1)
     if not acted.any():
         return 1.0 if mask.any() else 0.0
     back, a, b = (v.astype(int)[acted] for v in (background, K.gray(before), K.gray(after)))

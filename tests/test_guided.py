@@ -53,3 +53,32 @@ def test_frames(spark):
     assert {r["rule"]: r.n_rows for r in G.violations(pages, {"unit": "coverage between 0 and 1", "full": "coverage >= 0.9"}).collect()} == {"full": 1}
     assert [r.fingerprint for r in G.missing_from(spark.createDataFrame([("x",), ("y",)], "fingerprint string"), spark.createDataFrame([("x", 1)], "fingerprint string, p int")).collect()] == ["y"]
     assert cand.select(F.lit(1)).count() == 1
+
+
+def test_footer_is_measured_once(monkeypatch):
+    """One footer serves the score and both levels; only a changed page is measured again."""
+    from folioforge.operators import footer
+
+    built = []
+    monkeypatch.setattr(footer.Footer, "__init__", lambda self, *args, f=footer.Footer.__init__: built.append(1) or f(self, *args))
+    page = np.full((400, 300, 3), 250, np.uint8)
+    assert footer.polish(page)[1]["changed"] == 0 and len(built) == 1
+    page[388:391, 104:107] = 205
+    out, metrics = footer.polish(page)
+    assert metrics["changed"] == 9 and (out == 250).all() and len(built) == 3
+    page[385:395, 100:220:3] = 200
+    built.clear()
+    footer.polish(page, footer.Settings(limit=-1.0))
+    assert len(built) == 3
+
+
+def test_channels_at_once():
+    """Resizing and blurring a page at once is what its channels give one by one."""
+    from folioforge.operators import kernels
+
+    page = np.random.default_rng(2).integers(0, 256, (37, 52, 3)).astype(np.uint8)
+    for how in ("nearest", "area", "cubic"):
+        one = np.stack([kernels.resize(page[..., c], 23, 61, how) for c in range(3)], -1)
+        assert (kernels.resize(page, 23, 61, how) == one).all()
+    blurred = kernels.gaussian_blur(np.ascontiguousarray(page.transpose(2, 0, 1)), 9, 15)
+    assert all((blurred[c] == kernels.gaussian_blur(page[..., c], 9, 15)).all() for c in range(3))
